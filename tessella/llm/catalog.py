@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import sentencepiece, token_count
+from tessella.llm import langid, sentencepiece, simhash, token_count
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,8 +31,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_language_id, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
