@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import langid, sentencepiece, simhash, token_count
+from tessella.llm import langid, sentencepiece, simhash, suffix_dedup, token_count
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,12 +36,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_language_id, op8_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_language_id, op7_suffix_dedup, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
