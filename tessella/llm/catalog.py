@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import langid, sentencepiece, simhash, suffix_dedup, token_count
+from tessella.llm import langid, packing, pii, sentencepiece, simhash, suffix_dedup, token_count
 
 
 def tokenizer_file(name: str) -> str:
@@ -44,8 +44,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")))
+
+
+QUERIES = (op1_sentencepiece, op2_token_counts, op4_language_id, op7_suffix_dedup, op8_simhash, op9_pii, op10_packing)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_language_id, op7_suffix_dedup, op8_simhash)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
