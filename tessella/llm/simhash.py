@@ -1,18 +1,15 @@
 """SimHash near-dedup by tiled exact comparison.
 
 A document's features are its distinct words (a set, so that frequent words don't drown the rest); each feature's
-hash votes on 256 bits and the majority gives the fingerprint. Two documents are near copies when
-
-* their fingerprints differ in at most ``radius`` bits, of which at most ``half_radius`` are in the first half, and
-* the smaller has at least ``least_ratio`` as many distinct words as the larger.
+hash votes on 256 bits and the majority gives the fingerprint. Two documents are near copies when their fingerprints
+differ in at most ``radius`` bits, of which at most ``half_radius`` are in the first half, whatever their numbers of words.
 
 Every pair of documents is held to this, without bands or buckets that could miss one: equal fingerprints are put
-together first, then fingerprints are ordered by number of words and population count and cut into stripes by
-quantiles. Each pair of stripes whose word numbers are compatible is a cell, a task of its own, that
-compares tiles of ``TILE`` fingerprints with numpy's exclusive-or and bit count. A tile pair is skipped when
-the population counts of its halves differ by more than the radius, or its word numbers by more than the ratio: no
-pair in it can qualify. Work inside the cells is quadratic in the number of distinct fingerprints (the
-price of exactness), memory and the size of each task aren't.
+together first, then fingerprints are ordered by population count and cut into stripes by quantiles. Each pair of
+stripes whose population counts come within the radius is a cell, a task of its own, that compares tiles of ``TILE``
+fingerprints with numpy's exclusive-or and bit count. A tile pair is skipped when the population counts of its halves
+differ by more than the radius: no pair in it can qualify. Work inside the cells is quadratic in the number of distinct
+fingerprints (the price of exactness), memory and the size of each task aren't.
 
 A cell passes on the edges of a spanning forest, not all pairs, so a group of n copies costs n edges. Groups
 are the connected components. Defined results. Documents without words (null, empty or blank texts) are
@@ -80,44 +77,42 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return common.ids_and_text(docs, id_col, text_col).filter("doc_id is not null and text is not null").mapInArrow(run, _SIGNATURE)
 
 
-def tile_pairs(words: np.ndarray, pops: np.ndarray, tile: int, radius: int, ratio: float, other: tuple | None = None) -> Iterator[tuple[int, int]]:
-    """Starts of tiles that may hold a pair: (words, pops) against themselves (a <= b), or against another block."""
+def tile_pairs(pops: np.ndarray, tile: int, radius: int, other: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Starts of tiles that may hold a pair: pops against themselves (a <= b), or against another block's."""
 
-    def ranges(w: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
-        at = np.arange(0, len(w), tile)
-        return [np.minimum.reduceat(w, at), np.maximum.reduceat(w, at), np.minimum.reduceat(p, at), np.maximum.reduceat(p, at)]
+    def ranges(p: np.ndarray) -> list[np.ndarray]:
+        at = np.arange(0, len(p), tile)
+        return [np.minimum.reduceat(p, at), np.maximum.reduceat(p, at)]
 
-    a = ranges(words, pops)
-    b = a if other is None else ranges(*other)
+    a = ranges(pops)
+    b = a if other is None else ranges(other)
     for i in range(len(a[0])):
         least = np.zeros(len(b[0]), np.int64)
         for k in range(pops.shape[1]):
-            least += np.maximum(0, np.maximum(b[2][:, k] - a[3][i, k], a[2][i, k] - b[3][:, k]))
-        fits = (least <= radius) & (b[1] >= ratio * a[0][i]) & (a[1][i] >= ratio * b[0])
-        for j in np.flatnonzero(fits).tolist():
+            least += np.maximum(0, np.maximum(b[0][:, k] - a[1][i, k], a[0][i, k] - b[1][:, k]))
+        for j in np.flatnonzero(least <= radius).tolist():
             if other is not None or j >= i:
                 yield i * tile, j * tile
 
 
-def close_pairs(a_sig, a_words, b_sig=None, b_words=None, radius: int = 50, half_radius: int = 34, ratio: float = 0.8, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(a_sig, b_sig=None, radius: int = 50, half_radius: int = 34, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all near copies within one block of fingerprints (i < j) or between two."""
     same = b_sig is None
     pop = lambda s: np.bitwise_count(s[:, : WORDS // 2]).sum(1), lambda s: np.bitwise_count(s[:, WORDS // 2 :]).sum(1)
     pops = lambda s: np.stack([f(s) for f in pop], 1).astype(np.int64)
     a_pop = pops(a_sig)
-    a_order = np.lexsort((a_pop.sum(1), a_words // max(1, int(a_words.max()) // 64)))
-    a_cols, a_n = [np.ascontiguousarray(a_sig[a_order, k]) for k in range(WORDS)], a_words[a_order].astype(np.int64)
+    a_order = np.lexsort((a_pop[:, 1], a_pop[:, 0] // 8))
+    a_cols = [np.ascontiguousarray(a_sig[a_order, k]) for k in range(WORDS)]
     if same:
-        b_order, b_cols, b_n, other = a_order, a_cols, a_n, None
+        b_order, b_cols, other = a_order, a_cols, None
     else:
         b_pop = pops(b_sig)
-        b_order = np.lexsort((b_pop.sum(1), b_words // max(1, int(b_words.max()) // 64)))
-        b_cols, b_n = [np.ascontiguousarray(b_sig[b_order, k]) for k in range(WORDS)], b_words[b_order].astype(np.int64)
-        other = (b_n, b_pop[b_order])
+        b_order = np.lexsort((b_pop[:, 1], b_pop[:, 0] // 8))
+        b_cols, other = [np.ascontiguousarray(b_sig[b_order, k]) for k in range(WORDS)], b_pop[b_order]
     left, right = [], []
     x, c, d = (np.empty((tile, tile), t) for t in (np.uint64, np.uint8, np.uint8))
-    for i, j in tile_pairs(a_n, a_pop[a_order], tile, radius, ratio, other):
-        p, q = min(tile, len(a_n) - i), min(tile, len(b_n) - j)
+    for i, j in tile_pairs(a_pop[a_order], tile, radius, other):
+        p, q = min(tile, len(a_order) - i), min(tile, len(b_order) - j)
         xx, cc, dd = x[:p, :q], c[:p, :q], d[:p, :q]
         np.bitwise_xor(a_cols[0][i : i + p, None], b_cols[0][None, j : j + q], out=xx)
         np.bitwise_count(xx, out=cc)
@@ -132,7 +127,7 @@ def close_pairs(a_sig, a_words, b_sig=None, b_words=None, radius: int = 50, half
         u, v = u + i, v + j
         for k in range(2, WORDS):
             dist += np.bitwise_count(a_cols[k][u] ^ b_cols[k][v])
-        ok = (dist <= radius) & (np.minimum(a_n[u], b_n[v]) >= ratio * np.maximum(a_n[u], b_n[v]))
+        ok = dist <= radius
         if same:
             ok &= u < v
         left.append(a_order[u[ok]])
@@ -141,35 +136,35 @@ def close_pairs(a_sig, a_words, b_sig=None, b_words=None, radius: int = 50, half
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def _cell(radius: int, half_radius: int, ratio: float):
+def _cell(radius: int, half_radius: int):
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, n = table["doc_id"].to_numpy(), table["n_words"].to_numpy().astype(np.int64)
+        ids = table["doc_id"].to_numpy()
         sig = np.stack([table[f"s{k}"].to_numpy().view(np.uint64) for k in range(WORDS)], 1) if len(ids) else np.empty((0, WORDS), np.uint64)
         side = table["side"].to_numpy()
-        args = {"radius": radius, "half_radius": half_radius, "ratio": ratio}
+        args = {"radius": radius, "half_radius": half_radius}
         own, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if table["twofold"][0].as_py():
-            a, b = (own[x] if k == 0 else far[x] for k, x in enumerate(close_pairs(sig[own], n[own], sig[far], n[far], **args))) if len(own) and len(far) else (own[:0], far[:0])
+            a, b = (own[x] if k == 0 else far[x] for k, x in enumerate(close_pairs(sig[own], sig[far], **args))) if len(own) and len(far) else (own[:0], far[:0])
         else:
-            a, b = close_pairs(sig, n, **args)
+            a, b = close_pairs(sig, **args)
         roots, nodes = common.spanning(ids[a], ids[b])
         return pa.table({"a": pa.array(roots, pa.int64()), "b": pa.array(nodes, pa.int64())})
 
     return compare
 
 
-def near_edges(sig: DataFrame, radius: int, half_radius: int, ratio: float, stripe_rows: int) -> DataFrame:
-    """(a, b): edges whose components are those of all near copies among fingerprints (doc_id, n_words, s0 ..)."""
+def near_edges(sig: DataFrame, radius: int, half_radius: int, stripe_rows: int) -> DataFrame:
+    """(a, b): edges whose components are those of all near copies among fingerprints (doc_id, s0 ..)."""
     pop = sum((F.bit_count(f"s{k}") for k in range(1, WORDS)), F.bit_count("s0"))
-    key = sig.withColumn("key", F.col("n_words").cast("long") * (1 << 24) + pop * (1 << 10) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 10)))
+    key = sig.withColumn("key", pop.cast("long") * (1 << 10) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 10))).withColumn("pop", pop)
     total = key.count()
     stripes = max(1, min(2048, -(-total // stripe_rows)))
     cuts = sorted({int(x) for x in key.approxQuantile("key", [i / stripes for i in range(1, stripes)], 0.25 / stripes)}) if stripes > 1 else []
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     key = key.withColumn("stripe", F.size(F.filter(bounds, lambda c: c < F.col("key"))) if cuts else F.lit(0))
-    reach = {r["stripe"]: (r["lo"], r["hi"]) for r in key.groupBy("stripe").agg(F.min("n_words").alias("lo"), F.max("n_words").alias("hi")).collect()}
-    pairs = [(i, j) for i, j in itertools.combinations_with_replacement(sorted(reach), 2) if reach[i][1] >= ratio * reach[j][0]]
+    reach = {r["stripe"]: (r["lo"], r["hi"]) for r in key.groupBy("stripe").agg(F.min("pop").alias("lo"), F.max("pop").alias("hi")).collect()}
+    pairs = [(i, j) for i, j in itertools.combinations_with_replacement(sorted(reach), 2) if reach[j][0] - reach[i][1] <= radius]
     cells: dict[int, list[tuple[int, int, bool]]] = {}
     for c, (i, j) in enumerate(pairs):
         cells.setdefault(i, []).append((c, 0, i != j))
@@ -178,22 +173,21 @@ def near_edges(sig: DataFrame, radius: int, half_radius: int, ratio: float, stri
     spark = sig.sparkSession
     plan = spark.createDataFrame([(s, c, side, two) for s, cs in cells.items() for c, side, two in cs] or [(-1, 0, 0, False)], "stripe int, cell int, side int, twofold boolean")
     # the plan has one row for each stripe and cell: at most 2048 x 2048, and a few hundred for most inputs
-    placed = key.drop("key").join(F.broadcast(plan) if len(pairs) <= 100_000 else plan, "stripe")
-    return placed.groupBy("cell").applyInArrow(_cell(radius, half_radius, ratio), "a long, b long")
+    placed = key.drop("key", "pop").join(F.broadcast(plan) if len(pairs) <= 100_000 else plan, "stripe")
+    return placed.groupBy("cell").applyInArrow(_cell(radius, half_radius), "a long, b long")
 
 
 def near_copies(
-    docs: DataFrame, radius: int = 50, half_radius: int = 34, least_ratio: float = 0.8, stripe_rows: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, radius: int = 50, half_radius: int = 34, stripe_rows: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the least id of its group."""
     docs = common.one_row_per_id(docs.select(common.column(id_col).alias("doc_id"), common.column(text_col).alias("text")), "doc_id", "text")
     sig = common.materialise(signatures(docs), "simhash")
     parts = [f"s{k}" for k in range(WORDS)]
-    heads = sig.groupBy(*parts).agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words"), F.max("n_words").alias("most"))
+    heads = sig.groupBy(*parts).agg(F.min("doc_id").alias("doc_id"))
     heads = common.materialise(heads, "heads")
-    # equal fingerprints are one group whatever the word numbers; they count with their least number
     rows = stripe_rows or max(4096, min(1 << 18, heads.count() // 8))
-    edges = near_edges(heads.select("doc_id", "n_words", *parts), radius, half_radius, least_ratio, rows)
+    edges = near_edges(heads.select("doc_id", *parts), radius, half_radius, rows)
     equal = sig.join(heads.select(*parts, F.col("doc_id").alias("head")), parts).filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     found = common.components(edges.unionByName(equal))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))

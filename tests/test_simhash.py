@@ -1,0 +1,63 @@
+"""Groups of near copies against every pair compared."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from tessella.llm import common, simhash
+
+
+def _documents() -> list[tuple]:
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=6))
+    rows = []
+    for i in range(60):
+        base = [word() for _ in range(rng.choice([2, 30, 33, 200]))]
+        rows += [(10 * i, base), (10 * i + 1, base + [word() for _ in range(rng.choice([1, 8, 10, 13]))])]
+    texts = [(i, " ".join(w)) for i, w in rows]
+    return [*texts, (5000, texts[0][1]), (5001, None), (5002, "  "), (None, texts[0][1]), (5003, "one"), (5003, texts[2][1])]
+
+
+def _brute(rows: list[tuple]) -> tuple[dict[int, list[int]], int]:
+    """Groups, and how many pairs with fewer than 0.8 as many words on one side are in them."""
+    best: dict[int, str] = {}
+    for i, t in rows:
+        if i is not None and t and t.split() and (len(t), t) > (len(best.get(i, "")), best.get(i, "")):
+            best[i] = t
+    ids = sorted(best)
+    sizes, sig = simhash.fingerprints(*common.as_bytes(pa.array([best[i] for i in ids])))
+    forest, uneven = common.Forest(), 0
+    for k, a in enumerate(ids):
+        for j in range(k + 1, len(ids)):
+            bits = np.bitwise_count(sig[k] ^ sig[j]).astype(int)
+            if bits.sum() <= 50 and bits[:2].sum() <= 34:
+                forest.join(a, ids[j])
+                uneven += min(sizes[k], sizes[j]) < 0.8 * max(sizes[k], sizes[j])
+    found: dict[int, list[int]] = {}
+    for i in ids:
+        found.setdefault(forest.find(i), []).append(i)
+    return {g: m for g, m in found.items() if len(m) > 1}, uneven
+
+
+def test_groups_equal_brute_force_whatever_the_word_numbers(spark):
+    rows = _documents()
+    want, uneven = _brute(rows)
+    assert uneven > 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for stripe_rows in (0, 16):  # one stripe, and several
+        got = {r.group_id: list(r.doc_ids) for r in simhash.groups(docs, stripe_rows=stripe_rows).collect()}
+        assert got == want
+
+
+def test_tiles_hold_every_close_pair():
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    sig[200:] = sig[:100]
+    sig[200:, 3] ^= rng.integers(0, 1 << 40, 100, dtype=np.uint64)
+    bits = np.bitwise_count(sig[:, None] ^ sig[None]).astype(int)
+    close = (bits.sum(2) <= 50) & (bits[:, :, :2].sum(2) <= 34)
+    a, b = simhash.close_pairs(sig, tile=32)
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in zip(*np.nonzero(close), strict=True) if i < j}
+    a, b = simhash.close_pairs(sig[:150], sig[150:], tile=32)
+    assert set(zip(a.tolist(), (b + 150).tolist(), strict=True)) == {(i, j) for i, j in zip(*np.nonzero(close), strict=True) if i < 150 <= j}
