@@ -1,10 +1,14 @@
 """Personal data and secrets by weak supervision.
 
 Loose patterns propose spans of a kind: EMAIL, PHONE, IP, CARD, NATIONAL_ID, IBAN, SECRET. Labelers of three sorts vote
-on each (+1 private, -1 not, 0 no opinion): regular expressions and checks of the form, gazetteers
+on each (+1 private, -1 not, 0 no opinion). Patterns are greedy and may take in neighbouring numbers, so phones, cards and
+IBANs are also proposed from each later group of digits and up to each earlier one, and proposals overlap
+freely: which of them stays is decided after the vote. The labelers: regular expressions and checks of the form, gazetteers
 (issuer prefixes, mail hosts, words that announce a secret), and looks at the context (isolated or inside
 something longer, after a version word, in a table of numbers).
 
+* Of overlapping proposals the fit sees the one with the most votes in sum (then the longest, then the first), so that the
+  parts of a number don't outweigh the numbers themselves; the search lets all of them compete by the final classifier.
 * Counts of equal (kind, votes, features) are summed over all documents; their number is bounded by the number of
   labelers and feature values, not by the corpus.
 * Expectation-maximisation on the vote counts of each kind estimates how often each labeler is right, and with
@@ -13,7 +17,7 @@ something longer, after a version word, in a table of numbers).
   spans weighted by count. The final classifier's log odds are those of the regression and of the votes, averaged; a
   span of which they are positive is reported.
 
-Overlapping spans: the likelier stays, then the longer, then the first. Defined results. Null and empty
+Overlapping spans: an IBAN with right check digits stays, then the likelier, then the longer, then the first. Defined results. Null and empty
 texts have no spans. Rows are judged independently, so repeated rows repeat their spans; ids may be null. A corpus
 without any span gives a model that reports what the majority of labelers says. Texts are searched as a whole, whatever
 their length. Further columns don't matter, and redact keeps them.
@@ -47,6 +51,12 @@ _PROPOSE = [
     ("SECRET", re.compile(r"(?<![A-Za-z0-9_\-+/])(?=[A-Za-z_\-+/]*\d)[A-Za-z0-9_\-+/]{16,}={0,2}(?![A-Za-z0-9_\-+/])")),
     ("PHONE", re.compile(r"(?<![\w.])(?:\+|\()?\d[\d\-\s().]{5,17}\d(?!\w)")),
 ]
+#: Kinds written in groups: every start and end at the border of a group is a proposal of its own.
+_GROUPED = {
+    "IBAN": re.compile(r"(?=(\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b))"),
+    "CARD": re.compile(r"(?<![\w.])(?=(\d(?:[ -]?\d){12,18}(?!\w)))"),
+    "PHONE": re.compile(r"(?<![\w.+])(?=((?:\+|\()?\d[\d\-\s().]{5,17}\d(?!\w)))"),
+}
 _TRIM = ".!?*#%&$]}"
 _HOSTS = {"gmail", "yahoo", "hotmail", "outlook", "icloud", "proton", "aol", "gmx", "web", "mail", "example", "live", "msn", "orange", "free"}
 _ENDINGS = {"com", "net", "org", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "biz", "co", "eu", "us", "ch", "at", "it", "nl"}
@@ -64,6 +74,9 @@ _NOT_PRIVATE = re.compile(r"(?i)(?:\bv|version|release|build|section|§|isbn|iss
 _STRICT_MAIL = re.compile(r"[A-Za-z0-9À-ž._%+\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$")
 _STRICT_PHONE = re.compile(r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)|\d{2,4})[\s.-]\d{2,4}(?:[\s.-]\d{2,4}){0,3}$")
 
+_COUNTRY = re.compile(r"\+\d{1,3}[\s.(-]{1,2}$")
+_QUAD = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}$")
+
 
 @dataclass
 class Span:
@@ -99,7 +112,7 @@ def _form(kind: str, span: str, digits: str) -> int:
     if kind == "CARD":
         return 1 if 13 <= len(digits) <= 19 and re.fullmatch(r"\d+|\d{4}([ -]\d{4}){2,3}([ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5}", span) else -1
     if kind == "PHONE":
-        return 1 if 7 <= len(digits) <= 15 and (_STRICT_PHONE.match(span) or span.startswith("+")) else -1
+        return 1 if 7 <= len(digits) <= 15 and (_STRICT_PHONE.match(span) or span.startswith("+")) and not _QUAD.match(span) else -1
     if kind == "NATIONAL_ID":
         return 1 if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else -1
     if kind == "IBAN":
@@ -140,6 +153,8 @@ def _isolated(text: str, start: int, end: int) -> int:
     right = text[end] if end < len(text) else " "
     if left.isalnum() or right.isalnum() or left in "/\\=&?" and right in "/\\=&?":
         return -1
+    if right in "-./:" and text[end + 1 : end + 2].isdigit() or left in "-./:" and text[max(0, start - 2) : start - 1].isdigit():
+        return -1
     return 1 if (left.isspace() or left in "\"'([{<:,;|=") and (right.isspace() or right in "\"')]}>,.;:!?|*#%&$") else 0
 
 
@@ -186,20 +201,45 @@ def _describe(text: str, s: Span) -> None:
 _LEVELS = (len(KINDS), 4, 5, 2, 2, 3, 3, 2, 2, 2)
 
 
+def _bounds(kind: str, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Where a pattern matches; for kinds in groups also from each later group, and up to the end of each earlier one."""
+    if kind not in _GROUPED:
+        yield from (m.span() for m in pattern.finditer(text))
+        return
+    for m in _GROUPED[kind].finditer(text):
+        a, b = m.span(1)
+        if kind == "PHONE" and _COUNTRY.search(text[max(0, a - 6) : a]):
+            continue  # the number begins with its country code
+        yield a, b
+        for e in range(a + 5, b):
+            if text[e - 1].isalnum() and not text[e].isalnum() and pattern.fullmatch(text, a, e):
+                yield a, e
+
+
+def foremost(spans: list[Span]) -> list[Span]:
+    """The spans without those that overlap one with more votes; of as many votes the longer, then the first stays."""
+    best: list[Span] = []
+    for s in sorted(spans, key=lambda s: (-sum(s.votes), s.start - s.end)):
+        if all(s.end <= b.start or b.end <= s.start for b in best):
+            best.append(s)
+    return best
+
+
 def propose(text: str) -> list[Span]:
-    """Spans with votes and features; a span covers no other of an earlier kind in the list."""
+    """Spans with votes and features; those of all kinds may overlap."""
     found: list[Span] = []
     for kind, pattern in _PROPOSE:
         if kind == "EMAIL" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
+        seen: set[tuple[int, int]] = set()
+        for a, b in _bounds(kind, pattern, text):
             while b > a and text[b - 1] in _TRIM:
                 b -= 1
             while a < b and text[a] in _TRIM:
                 a += 1
-            if b - a < 5 or any(a < f.end and f.start < b for f in found):
+            if b - a < 5 or (a, b) in seen:
                 continue
+            seen.add((a, b))
             s = Span(a, b, kind)
             _describe(text, s)
             found.append(s)
@@ -238,7 +278,7 @@ class Model:
         for s in spans:
             s.chance = self.chance(s)
         best: list[Span] = []
-        for s in sorted((s for s in spans if s.chance > 0.5), key=lambda s: (-s.chance, s.start - s.end, s.start)):
+        for s in sorted((s for s in spans if s.chance > 0.5), key=lambda s: (s.kind != "IBAN" or s.votes[1] < 1, -s.chance, s.start - s.end, s.start)):
             if all(s.end <= b.start or b.end <= s.start for b in best):
                 best.append(s)
         return sorted(best, key=lambda s: s.start)
@@ -329,7 +369,7 @@ def _suspects(text: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """The model from all proposed spans of docs."""
+    """The model from the foremost of all proposed spans of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -337,7 +377,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             for part in common.slices(whole):
                 text = part.column(0)
                 for x in text.take(pa.array(_suspects(text))).to_pylist():
-                    counts.update((s.kind, s.votes, s.features) for s in propose(x))
+                    counts.update((s.kind, s.votes, s.features) for s in foremost(propose(x)))
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([list(k[1]) for k in keys], pa.list_(pa.int32())), pa.array([list(k[2]) for k in keys], pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())],
