@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import langid, packing, pii, sentencepiece, simhash, suffix_dedup, token_count
+from tessella.llm import html_diff, langid, packing, pii, sentencepiece, simhash, suffix_dedup, token_count
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,6 +36,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op6_html_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")))
 
 
-QUERIES = (op1_sentencepiece, op2_token_counts, op4_language_id, op7_suffix_dedup, op8_simhash, op9_pii, op10_packing)
+QUERIES = (op1_sentencepiece, op2_token_counts, op4_language_id, op6_html_diff, op7_suffix_dedup, op8_simhash, op9_pii, op10_packing)
 
 
 def queries() -> dict:

@@ -3,16 +3,17 @@
 A page's visible text is a list of lines (block elements end a line; scripts, styles and comments are
 left out). Pages of one host are ordered by the segments of their paths; the nearest page to a page is the one of its
 predecessor and successor that shares more leading segments, then more leading characters, then the predecessor.
-Pages of the same host whose lines are all the same count as one place in that order, so a page is never compared with its own
-copy. The lines of a page and its nearest are aligned by longest common subsequence, and shared lines, which are the
+Pages of the same host whose lines are all the same count as one place in that order, at the least of their paths, so a
+page is never compared with its own copy. The lines of a page and its nearest are aligned by longest common subsequence, and shared lines, which are the
 host's template rather than the page's content, are deleted.
 
-A host of any size is handled in pieces: pages are ordered with range partitions over (host, path), and each
-piece hands the pages at its two ends to its neighbours, so no host need fit into one task.
+A host of any size is handled in pieces: places are ordered with range partitions over (host, path), and each
+piece hands the places at its two ends to its neighbours, so no host need fit into one task. Only keys are ordered; the
+lines of a place and its nearest are joined to them afterwards.
 
 Defined results. A page that is alone on its host (or whose host has only copies of it) keeps all its lines. Null HTML or
 a null URL: a row with null text. HTML without text, or where every line is shared: empty text. Repeated rows get equal
-results. Further columns don't matter.
+results. n_lines counts the lines of a page and n_shared those of them that were deleted. Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -148,27 +149,62 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["page_id", "host", "path", "sign", "body"])
 
 
+def nearest(places: DataFrame) -> DataFrame:
+    """(host, sign, near) for each place (host, sign, path): the sign of its nearest, null where it is alone on its host."""
+    keys = places.withColumn("key", F.split("path", "/"))
+    order = ["host", "key", "sign"]
+    piece = keys.repartitionByRange(common.partitions(places.sparkSession), *order).withColumn("piece", F.spark_partition_id())
+    piece = common.materialise(piece, "order")
+    at = F.struct(*order, "path")
+    # one row a piece, whatever the number of places: an order over all pieces fits one task
+    ends = piece.groupBy("piece").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    row = Window.orderBy("piece")
+    ends = ends.select(F.col("piece").alias("__piece"), F.lag("last").over(row).alias("before"), F.lead("first").over(row).alias("after"))
+    inside = Window.partitionBy("piece").orderBy(*order)
+    both = piece.select("piece", *order, "path", F.lag(at).over(inside).alias("left"), F.lead(at).over(inside).alias("right"))
+    both = both.join(F.broadcast(ends), F.col("piece") == F.col("__piece")).withColumn("left", F.coalesce("left", "before")).withColumn("right", F.coalesce("right", "after"))
+    own = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), F.col(side))
+    both = both.withColumn("left", own("left")).withColumn("right", own("right"))
+    return both.select("host", "sign", "path", *(F.col(f"{side}.{x}").alias(f"{side}_{x}") for side in ("left", "right") for x in ("sign", "path"))).mapInArrow(_choose, "host string, sign long, near long")
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        near = []
+        for _, _, path, left, left_path, right, right_path in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            if left is None or right is None:
+                near.append(right if left is None else left)
+            else:
+                near.append(right if closeness(path, right_path) > closeness(path, left_path) else left)
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near, pa.int64())], ["host", "sign", "near"])
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    def lines(body: bytes | None) -> list[str]:
+        text = zstandard.decompress(body).decode() if body else ""
+        return text.split("\n") if text else []
+
+    for part in batches:
+        rows = []
+        for body, near in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            own = lines(body)
+            left = unshared(own, lines(near))
+            rows.append(("\n".join(left), len(own), len(own) - len(left)))
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32()), strict=True))], ["host", "sign", "text", "n_lines", "n_shared"])
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, text, n_lines, n_shared) for each page; text has a line for each line kept."""
     given = pages.select(common.column(id_col).cast("long").alias("page_id"), common.column(url_col).alias("url"), common.column(html_col).alias("html"))
     whole = given.filter("url is not null and html is not null")
     void = given.filter("url is null or html is null").select("page_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("int").alias("n_shared"))
-    read = whole.select("page_id", "url", "html").mapInArrow(_read, _LIGHT)
-    spark = pages.sparkSession
-    # an order of all pages; pieces are ranges of it
-    sorted_ = common.materialise(read.repartitionByRange(common.partitions(spark), "host", "path", "sign", "page_id").sortWithinPartitions("host", "path", "sign", "page_id").withColumn("piece", F.spark_partition_id()), "pages")
-    edges = sorted_.groupBy("piece").agg(
-        F.min(F.struct("host", "path", "sign", "page_id")).alias("lo"), F.max(F.struct("host", "path", "sign", "page_id")).alias("hi"), F.countDistinct("host", "path", "sign").alias("n")
-    )
-    del edges
-    # the first and last places of each piece, for the pieces around it
-    place = Window.partitionBy("piece").orderBy("host", "path", "sign", "page_id")
-    back = Window.partitionBy("piece").orderBy(F.col("host").desc(), F.col("path").desc(), F.col("sign").desc(), F.col("page_id").desc())
-    first = sorted_.withColumn("r", F.row_number().over(place)).filter("r = 1").drop("r")
-    last = sorted_.withColumn("r", F.row_number().over(back)).filter("r = 1").drop("r")
-    del first, last
-    return sorted_.groupBy("host").applyInArrow(_differ, "page_id long, text string, n_lines int, n_shared int").unionByName(void)
-
-
-def _differ(table: pa.Table) -> pa.Table:
-    raise NotImplementedError
+    read = common.materialise(whole.select("page_id", "url", "html").mapInArrow(_read, _LIGHT), "pages")
+    places = read.groupBy("host", "sign").agg(F.min_by("path", F.split("path", "/")).alias("path"))
+    bodies = read.groupBy("host", "sign").agg(F.first("body").alias("body"))
+    other = bodies.select("host", F.col("sign").alias("near"), F.col("body").alias("near_body"))
+    pairs = nearest(places).join(bodies, ["host", "sign"]).join(other, ["host", "near"], "left")
+    text = pairs.select("host", "sign", "body", "near_body").mapInArrow(_differ, "host string, sign long, text string, n_lines int, n_shared int")
+    return read.select("page_id", "host", "sign").join(text, ["host", "sign"]).select("page_id", "text", "n_lines", "n_shared").unionByName(void)
