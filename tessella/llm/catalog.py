@@ -6,8 +6,9 @@ import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import html_diff, langid, packing, pii, sentencepiece, simhash, suffix_dedup, token_count
+from tessella.llm import html_diff, langid, lattice, packing, permutation, pii, sentencepiece, simhash, suffix_dedup, token_count
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,11 +32,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def op6_html_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.extract(table(spark, sf_dir, "pages"))
 
@@ -57,12 +66,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")))
 
 
-QUERIES = (op1_sentencepiece, op2_token_counts, op4_language_id, op6_html_diff, op7_suffix_dedup, op8_simhash, op9_pii, op10_packing)
+QUERIES = (op1_sentencepiece, op2_token_counts, op3_permutation_index, op4_language_id, op5_lattice_dedup, op6_html_diff, op7_suffix_dedup, op8_simhash, op9_pii, op10_packing)
 
 
 def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+#: All pairs of different vectors, their components, and the rows of each; equal to the lattice's unless it misses a link.
+LATTICE_SQL = """
+with recursive given as (
+  select vec_id, list_transform(max(embedding), lambda x: x::double) as v from embeddings
+  where vec_id is not null and embedding is not null group by vec_id
+), reps as (
+  select min(vec_id) as id, count(*)::bigint as n_copies, v, list_dot_product(v, v) as nn from given group by v
+), links as (
+  select a.id as a, b.id as b from reps a join reps b on a.id <> b.id
+  where a.nn > 0 and b.nn > 0 and list_dot_product(a.v, b.v) >= 0.95 * sqrt(a.nn) * sqrt(b.nn)
+), reach(a, b) as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a
+), root as (
+  select a as id, least(a, min(b)) as group_id from reach group by a
+), degree as (
+  select a as id, count(*)::bigint as n_links from links group by a
+)
+select g.vec_id, coalesce(t.group_id, r.id) as group_id, r.n_copies, coalesce(d.n_links, 0)::bigint as n_links
+from given g join reps r on g.v = r.v left join root t on t.id = r.id left join degree d on d.id = r.id
+where t.id is not null or (r.n_copies > 1 and r.nn > 0)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_lattice_dedup": LATTICE_SQL}

@@ -15,20 +15,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy pass looks at together; a longer document is a slice of its own.
 SLICE_BYTES = 4 << 20
 
 
-# ---------------------------------------------------------------- shared folder
+# -- shared folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or, where that is unset, a local one that ends with the process."""
+    """The folder that all executors see: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set a local master gets a folder that ends with the process; a cluster must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = known.get() if known.isDefined() else None
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessella-")
         atexit.register(shutil.rmtree, base[7:], True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -71,24 +80,23 @@ def ids_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def one_row_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of rows with the same id, the one with the longest, then greatest text; rows without an id go.
+def one_row_per_id(df: DataFrame, id_col: str, text_col: str, order: list[Column] | None = None) -> DataFrame:
+    """Of rows with the same id, the first by order, else the one with the longest, then greatest text; rows without an id go.
 
     Only the ids are counted; the texts move only where ids do repeat.
     """
-    df = df.filter(F.col(id_col).isNotNull())
-    repeated = df.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__rid"))
+    key, value = column(id_col), column(text_col)
+    df = df.filter(key.isNotNull())
+    rid, rank = fresh(df, "rid"), fresh(df, "rank")
+    repeated = df.groupBy(key.alias(rid)).count().filter("count > 1").select(rid)
     if repeated.isEmpty():
         return df
-    from pyspark.sql import Window
+    order = Window.partitionBy(key).orderBy(*(order or [F.length(value).desc_nulls_last(), value.desc_nulls_last()]))
+    some = df.join(repeated, key == F.col(rid), "left_semi").withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
+    return df.join(repeated, key == F.col(rid), "left_anti").unionByName(some)
 
-    rank = fresh(df, "rank")
-    order = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col).desc_nulls_last())
-    some = df.join(repeated, F.col(id_col) == F.col("__rid"), "left_semi").withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
-    return df.join(repeated, F.col(id_col) == F.col("__rid"), "left_anti").unionByName(some)
 
-
-# ---------------------------------------------------------------- text as bytes
+# -- text as bytes
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +154,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-# ---------------------------------------------------------------- hashing
+# -- hashing
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -206,7 +214,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out ^ (ends - starts).astype(np.uint64))
 
 
-# ---------------------------------------------------------------- varints
+# -- varints
 
 
 def zigzag(x: np.ndarray) -> np.ndarray:
@@ -247,7 +255,7 @@ def unpack(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-# ---------------------------------------------------------------- components
+# -- components
 
 
 class Forest:
@@ -308,8 +316,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        from pyspark.sql import Window
-
         near = Window.partitionBy("u")
         # large star: each larger neighbour is joined to the least of the neighbourhood
         large = both.withColumn("m", F.least(F.min("v").over(near), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -40,7 +40,7 @@ from tessella.llm import common
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "NATIONAL_ID", "IBAN", "SECRET")
 
-# ---------------------------------------------------------------- proposals
+# -- proposals
 
 _PROPOSE = [
     ("EMAIL", re.compile(r"[^\s@<>\"'(),;:|]{1,64}@[^\s@<>\"'(),;:|]{1,253}")),
@@ -246,7 +246,7 @@ def propose(text: str) -> list[Span]:
     return found
 
 
-# ---------------------------------------------------------------- model
+# -- model
 
 
 @dataclass
@@ -358,7 +358,7 @@ def learn(counts: dict[tuple[str, tuple[int, ...], tuple[int, ...]], int]) -> Mo
     return model
 
 
-# ---------------------------------------------------------------- Spark
+# -- Spark
 
 
 def _suspects(text: pa.Array) -> np.ndarray:

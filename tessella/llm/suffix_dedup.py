@@ -39,7 +39,7 @@ _PACKED = "bucket int, part int, docs binary, at binary, low binary, high binary
 _FIELDS = [x.split()[0] for x in _PACKED.split(", ")]
 
 
-# ---------------------------------------------------------------- packed suffixes
+# -- packed suffixes
 
 
 def _binary(raw: bytes, ends: np.ndarray) -> pa.Array:
@@ -106,7 +106,7 @@ def _unpack_table(table: pa.Table, digits: bool) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.empty(0, k) for p, k in zip(parts, kinds, strict=True)]
 
 
-# ---------------------------------------------------------------- partition pass
+# -- partition pass
 
 
 def suffixes(data: np.ndarray, off: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ def _by_part(doc: np.ndarray, at: np.ndarray, flag: np.ndarray, parts: int) -> t
     return pack_rows(part[k], doc[k], at[k], flag=flag[k])
 
 
-# ---------------------------------------------------------------- digit passes
+# -- digit passes
 
 
 def equal_groups(doc, at, low, high, flag) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +212,7 @@ def _reduce(parts: int):
     return run
 
 
-# ---------------------------------------------------------------- spans
+# -- spans
 
 
 def spans_of(doc: np.ndarray, at: np.ndarray, first: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
