@@ -20,11 +20,13 @@ something longer, after a version word, in a table of numbers).
 Overlapping spans: an IBAN with right check digits stays, then the likelier, then the longer, then the first. Defined results. Null and empty
 texts have no spans. Rows are judged independently, so repeated rows repeat their spans; ids may be null. A corpus
 without any span gives a model that reports what the majority of labelers says. Texts are searched as a whole, whatever
-their length. Further columns don't matter, and redact keeps them.
+their length. Digits are those of ASCII; a secret has 16 characters at least (shorter runs are ordinary words and numbers),
+and no kind has a form of under five. Further columns don't matter, and redact keeps them.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -43,19 +45,19 @@ KINDS = ("EMAIL", "PHONE", "IP", "CARD", "NATIONAL_ID", "IBAN", "SECRET")
 # -- proposals
 
 _PROPOSE = [
-    ("EMAIL", re.compile(r"[^\s@<>\"'(),;:|]{1,64}@[^\s@<>\"'(),;:|]{1,253}")),
-    ("IP", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")),
-    ("IBAN", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("NATIONAL_ID", re.compile(r"(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-])")),
-    ("CARD", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)")),
-    ("SECRET", re.compile(r"(?<![A-Za-z0-9_\-+/])(?=[A-Za-z_\-+/]*\d)[A-Za-z0-9_\-+/]{16,}={0,2}(?![A-Za-z0-9_\-+/])")),
-    ("PHONE", re.compile(r"(?<![\w.])(?:\+|\()?\d[\d\-\s().]{5,17}\d(?!\w)")),
+    ("EMAIL", re.compile(r"[^\s@<>\"'(),;:|]+")),
+    ("IP", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])")),
+    ("IBAN", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
+    ("NATIONAL_ID", re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")),
+    ("CARD", re.compile(r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w)")),
+    ("SECRET", re.compile(r"(?<![A-Za-z0-9_\-+/])(?=[A-Za-z_\-+/]*[0-9])[A-Za-z0-9_\-+/]{16,}={0,2}(?![A-Za-z0-9_\-+/])")),
+    ("PHONE", re.compile(r"(?<![\w.])(?:\+|\()?[0-9][0-9\-\s().]{5,17}[0-9](?!\w)")),
 ]
 #: Kinds written in groups: every start and end at the border of a group is a proposal of its own.
 _GROUPED = {
-    "IBAN": re.compile(r"(?=(\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b))"),
-    "CARD": re.compile(r"(?<![\w.])(?=(\d(?:[ -]?\d){12,18}(?!\w)))"),
-    "PHONE": re.compile(r"(?<![\w.+])(?=((?:\+|\()?\d[\d\-\s().]{5,17}\d(?!\w)))"),
+    "IBAN": re.compile(r"(?=(\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b))"),
+    "CARD": re.compile(r"(?<![\w.])(?=([0-9](?:[ -]?[0-9]){12,18}(?!\w)))"),
+    "PHONE": re.compile(r"(?<![\w.+])(?=((?:\+|\()?[0-9][0-9\-\s().]{5,17}[0-9](?!\w)))"),
 }
 _TRIM = ".!?*#%&$]}"
 _HOSTS = {"gmail", "yahoo", "hotmail", "outlook", "icloud", "proton", "aol", "gmx", "web", "mail", "example", "live", "msn", "orange", "free"}
@@ -106,7 +108,7 @@ def _mod97(iban: str) -> bool:
 def _form(kind: str, span: str, digits: str) -> int:
     """Labeler: the strict form of the kind."""
     if kind == "EMAIL":
-        return 1 if _STRICT_MAIL.match(span) else -1
+        return 1 if len(span) <= 320 and _STRICT_MAIL.match(span) else -1
     if kind == "IP":
         return 1 if all(int(x) < 256 for x in span.split(".")) else -1
     if kind == "CARD":
@@ -203,6 +205,14 @@ _LEVELS = (len(KINDS), 4, 5, 2, 2, 3, 3, 2, 2, 2)
 
 def _bounds(kind: str, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
     """Where a pattern matches; for kinds in groups also from each later group, and up to the end of each earlier one."""
+    if kind == "EMAIL":  # runs on either side of an at sign: each character is looked at a few times, however long they are
+        left = (0, 0)
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if left[1] == a - 1 and left[0] < left[1] and text[a - 1] == "@":
+                yield left[0], b
+            left = (a, b)
+        return
     if kind not in _GROUPED:
         yield from (m.span() for m in pattern.finditer(text))
         return
@@ -218,11 +228,19 @@ def _bounds(kind: str, pattern: re.Pattern, text: str) -> Iterator[tuple[int, in
 
 def foremost(spans: list[Span]) -> list[Span]:
     """The spans without those that overlap one with more votes; of as many votes the longer, then the first stays."""
-    best: list[Span] = []
-    for s in sorted(spans, key=lambda s: (-sum(s.votes), s.start - s.end)):
-        if all(s.end <= b.start or b.end <= s.start for b in best):
-            best.append(s)
-    return best
+    return apart(sorted(spans, key=lambda s: (-sum(s.votes), s.start - s.end)))
+
+
+def apart(spans: list[Span]) -> list[Span]:
+    """The spans, in the given order, without those that overlap one kept before; ordered by start."""
+    starts: list[int] = []
+    kept: list[Span] = []
+    for s in spans:
+        k = bisect.bisect_left(starts, s.end)  # those before k start before this one ends
+        if k == 0 or kept[k - 1].end <= s.start:
+            starts.insert(k, s.start)
+            kept.insert(k, s)
+    return kept
 
 
 def propose(text: str) -> list[Span]:
@@ -256,6 +274,7 @@ class Model:
     prior: dict[str, float] = field(default_factory=dict)
     right: dict[str, np.ndarray] = field(default_factory=dict)
     weights: np.ndarray | None = None
+    known: dict[tuple, float] = field(default_factory=dict)
 
     def votes_chance(self, kind: str, votes: tuple[int, ...]) -> float:
         if kind not in self.prior:
@@ -267,6 +286,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
     def chance(self, s: Span) -> float:
+        """Looked up by (kind, votes, features), of which there is a bounded number."""
+        key = (s.kind, s.votes, s.features)
+        if key not in self.known:
+            self.known[key] = self._chance(s)
+        return self.known[key]
+
+    def _chance(self, s: Span) -> float:
         p = min(max(self.votes_chance(s.kind, s.votes), 1e-6), 1 - 1e-6)
         odds = np.log(p / (1 - p))
         if self.weights is not None:
@@ -277,11 +303,7 @@ class Model:
         spans = propose(text)
         for s in spans:
             s.chance = self.chance(s)
-        best: list[Span] = []
-        for s in sorted((s for s in spans if s.chance > 0.5), key=lambda s: (s.kind != "IBAN" or s.votes[1] < 1, -s.chance, s.start - s.end, s.start)):
-            if all(s.end <= b.start or b.end <= s.start for b in best):
-                best.append(s)
-        return sorted(best, key=lambda s: s.start)
+        return apart(sorted((s for s in spans if s.chance > 0.5), key=lambda s: (s.kind != "IBAN" or s.votes[1] < 1, -s.chance, s.start - s.end, s.start)))
 
 
 def _one_hot(rows: list[tuple[int, ...]]) -> np.ndarray:
