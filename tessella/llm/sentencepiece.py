@@ -77,7 +77,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.size, self.ids = 0, pa.array([], pa.large_list(pa.int32()))
+        self.size, self.ids, self.more = 0, pa.array([], pa.large_list(pa.int32())), []
 
     def _rows(self, chunks: pa.Array) -> np.ndarray:
         """For each distinct chunk its row of the table, which grows by those not met before."""
@@ -97,7 +97,9 @@ class Encoder:
             sizes = np.fromiter(map(len, more), np.int64, len(more))
             flat = np.fromiter((x for ids in more for x in ids), np.int32, int(sizes.sum()))
             lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(flat))
-            self.ids = pa.concat_arrays([self.ids, lists])
+            self.more.append(lists)
+            if sum(map(len, self.more)) > len(self.ids) or len(self.more) > 64:  # the table is copied when it has doubled
+                self.ids, self.more = pa.concat_arrays([self.ids, *self.more]), []
         return rows
 
     def encode(self, texts: pa.Array) -> pa.Array:
@@ -116,7 +118,10 @@ class Encoder:
         coded = chunks.dictionary_encode()
         distinct = pc.replace_substring(coded.dictionary, b" ", MARK)
         rows = self._rows(distinct)
-        lists = self.ids.take(pa.array(rows[coded.indices.to_numpy(zero_copy_only=False)]))
+        table = pa.chunked_array([self.ids, *self.more]) if self.more else self.ids
+        lists = table.take(pa.array(rows[coded.indices.to_numpy(zero_copy_only=False)]))
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks() if lists.num_chunks else pa.array([], lists.type)
         flat_off = lists.offsets.to_numpy()
         where = np.searchsorted(cut, off)
         return pa.ListArray.from_arrays(pa.array(flat_off[where] - flat_off[0], pa.int32(), mask=None), lists.flatten(), mask=pc.invert(valid) if valid.false_count else None)
@@ -143,6 +148,10 @@ class Decoder:
         raw = bytes(taken.buffers()[2] or b"") if len(taken) else b""
         try:
             raw.decode()
+            if raw:  # the texts together may be UTF-8 where a character's bytes lie in two of them
+                heads = np.frombuffer(raw, np.uint8)[at[:-1][at[:-1] < at[1:]]]
+                if ((heads & 0xC0) == 0x80).any():
+                    raise UnicodeDecodeError("utf-8", raw, 0, 1, "a text begins inside a character")
             begin = at.copy()
             if self.prefix and raw:
                 head = np.frombuffer(raw, np.uint8)[np.minimum(at[:-1], len(raw) - 1)] == 0x20
