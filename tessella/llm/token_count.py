@@ -85,7 +85,7 @@ def _splice(text: str, start: int, end: int, shift: int, left: np.ndarray, right
     found = [m.start() for m in _STABLE.finditer(part)]
     for p in reversed(found):
         at = len(part[:p].encode())
-        if shift + at < since:
+        if shift + at <= since:  # a cut there would bring nothing: the overlap, then the left chunk has to grow
             return None
         if _has(right, at) and _has(left, shift + at):
             return shift + at, at
