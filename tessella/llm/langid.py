@@ -9,12 +9,13 @@ Blocks keep the comparison fair for long texts: without them a text soon becomes
 languages' totals meet.
 
 Fitting is bounded: ``per_language`` rows for each language, those of the least hash of their id, of each the first
-``sample_chars`` characters, together at most ``dictionary_bytes``. Labels may be wrong, so the sample is cleaned: each
+``sample_chars`` characters, together at most ``dictionary_bytes``; of the commonest ``languages`` labels. Labels may be wrong, so the sample is cleaned: each
 half is judged with dictionaries of the other half, and rows judged otherwise than labelled leave it.
 
 Defined results. A null, empty or letterless text has no language (null), margin 0, and is rejected; so is a tie. With
 a single language in the sample every text with letters is of it, with margin 1; without any, all are rejected. Rows
-are judged independently: repeated rows give repeated results, null ids are kept. Rows without id or label never
+are judged independently: repeated rows give repeated results, null ids are kept. In a tie the first language by name is
+given, not accepted. Of rows with the same id the longest, then greatest text may enter the sample. Rows without id or label never
 enter the sample. Further columns don't matter.
 """
 
@@ -80,14 +81,19 @@ def _dictionary(parts: list[bytes], size: int) -> bytes:
     return b"\n".join(parts)[:size]
 
 
-def fit(docs: DataFrame, per_language: int = 96, sample_chars: int = 512, dictionary_bytes: int = 32768, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each language of lang_col, from at most per_language rows of each."""
+def fit(docs: DataFrame, per_language: int = 96, sample_chars: int = 512, dictionary_bytes: int = 32768, languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """A dictionary for each of the commonest ``languages`` of lang_col, from at most per_language rows of each."""
     light = docs.select(common.column(id_col).alias("doc_id"), common.column(lang_col).alias("lang")).filter("doc_id is not null and lang is not null")
+    # the commonest languages, of equally common ones the first by name: labels are free text, so their number needs a bound
+    known = light.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    light = light.join(F.broadcast(known), "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = light.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id").distinct()
     rows = docs.select(common.column(id_col).alias("doc_id"), common.column(lang_col).alias("lang"), F.substring(common.column(text_col), 1, sample_chars).alias("text"))
     # at most per_language ids for each language: the sample's bound, whatever the size of the table
-    rows = rows.filter("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = rows.filter("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id")
+    # of rows with the same id one counts, whichever order they come in
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), "text", "lang")).alias("x")).select("doc_id", "x.lang", "x.text").collect()
     sample: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
         plain = normalise(pa.array([r["text"]], pa.string()))[0].as_py()
