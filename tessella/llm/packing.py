@@ -20,6 +20,8 @@ as often as they occur. The empty table gives no sequences. Further columns don'
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +76,8 @@ def master(demand: np.ndarray, sizes: np.ndarray, capacity: int, tolerance: floa
         inverse = inverse - np.outer(way, row)
         inverse[out] = row
         patterns[out] = column
+    else:
+        warnings.warn(f"the linear program wasn't optimal after {rounds} rounds: the plan holds, its bound doesn't", stacklevel=2)
     return patterns, np.maximum(amount, 0)
 
 
@@ -147,7 +151,7 @@ def pack(lengths: DataFrame, capacity: int = 2048, unit: int = 8) -> DataFrame:
     demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     slots, _, _ = plan(demand, capacity // unit)
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("part")) - F.col("n")).drop("n")
-    order = Window.partitionBy("size", "part").orderBy("doc_id", "piece")
+    order = Window.partitionBy("size", "part").orderBy("doc_id", "piece", "length", "start")
     ranked = cut.withColumn("row", F.row_number().over(order).cast("long") - 1).join(before, ["size", "part"]).withColumn("rank", F.col("row") + F.col("before"))
     schema = "size int, first long, stop long, bin long, each long"
     # a few rows for each class: bounded by (capacity / unit) squared, a few thousand in practice
