@@ -80,20 +80,29 @@ def ids_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def one_row_per_id(df: DataFrame, id_col: str, text_col: str, order: list[Column] | None = None) -> DataFrame:
-    """Of rows with the same id, the first by order, else the one with the longest, then greatest text; rows without an id go.
+def by_id(df: DataFrame, id_col: str, text_col: str, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(one row an id, a row for each further text of the same id or None where no id is repeated); rows without an id go.
 
-    Only the ids are counted; the texts move only where ids do repeat.
+    The one is the first by order, else that with the longest, then greatest text. Only the ids are counted; the texts move
+    only where ids do repeat.
     """
     key, value = column(id_col), column(text_col)
     df = df.filter(key.isNotNull())
-    rid, rank = fresh(df, "rid"), fresh(df, "rank")
+    rid, rank, text = fresh(df, "rid"), fresh(df, "rank"), fresh(df, "text")
     repeated = df.groupBy(key.alias(rid)).count().filter("count > 1").select(rid)
     if repeated.isEmpty():
-        return df
+        return df, None
     order = Window.partitionBy(key).orderBy(*(order or [F.length(value).desc_nulls_last(), value.desc_nulls_last()]))
-    some = df.join(repeated, key == F.col(rid), "left_semi").withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
-    return df.join(repeated, key == F.col(rid), "left_anti").unionByName(some)
+    # equal texts of an id stand together in the order: all but the first of them go
+    some = df.join(repeated, key == F.col(rid), "left_semi").withColumn(rank, F.row_number().over(order)).withColumn(text, F.lag(value).over(order))
+    first = some.filter(F.col(rank) == 1).drop(rank, text)
+    rest = some.filter((F.col(rank) > 1) & ~value.eqNullSafe(F.col(text))).drop(rank, text)
+    return df.join(repeated, key == F.col(rid), "left_anti").unionByName(first), rest
+
+
+def one_row_per_id(df: DataFrame, id_col: str, text_col: str, order: list[Column] | None = None) -> DataFrame:
+    """The first part of by_id()."""
+    return by_id(df, id_col, text_col, order)[0]
 
 
 # -- text as bytes
@@ -117,8 +126,8 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most so many bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most so many bytes of text and rows, one row at least."""
     n = batch.num_rows
     if n == 0:
         return
@@ -128,7 +137,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
-        to = min(to, n)
+        to = min(to, n, at + rows)
         yield batch.slice(at, to - at)
         at = to
 
@@ -258,79 +267,70 @@ def unpack(raw: np.ndarray) -> np.ndarray:
 # -- components
 
 
-class Forest:
-    """Union-find over ints."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        root = x
-        while (p := up.get(root, root)) != root:
-            root = p
-        while (p := up.get(x, x)) != root:
-            up[x] = root
-            x = p
-        return root
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        if b < a:
-            a, b = b, a
-        self.up[b] = a
-        self.up.setdefault(a, a)
-        return True
-
-
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (least of the component, other node) that keep the components of the given edges."""
-    f = Forest()
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        f.join(x, y)
-    nodes = [x for x in f.up if f.find(x) != x]
-    return [f.find(x) for x in nodes], nodes
-
+    if not len(a):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        p, q = label[x], label[y]
+        low = np.minimum(p, q)
+        np.minimum.at(label, p, low)  # roots are hooked to lesser ones
+        np.minimum.at(label, q, low)
+        while (label[label] != label).any():
+            label = label[label]
+        more = label[x] != label[y]
+        x, y = x[more], y[more]
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
+def _stars(rows: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars of their own components, at most so many taken together."""
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        x, y = spanning(np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)]))
+        a.clear()
+        b.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-def _stars(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    f = Forest()
     for batch in rows:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            f.join(x, y)
-    nodes = [x for x in f.up if f.find(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([f.find(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+        if sum(map(len, a)) > most:
+            yield flush()
+    yield flush()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of the undirected edges (a, b), the least node of its component.
 
-    Alternates large-star and small-star steps, each a shuffle of the edges, until nothing changes; the
-    number of rounds grows with the logarithm of the longest path. Each task first replaces its edges by the
-    stars of their own components, so dense groups shrink at once. No step gathers a component in one place.
+    Alternates large-star and small-star steps until nothing changes; the number of rounds grows with the logarithm of
+    the longest path. Each task first replaces its edges by the stars of their own components, so dense groups shrink at
+    once. The least neighbour of a node is a partial aggregate joined back, so no task gets all neighbours of a hub.
     """
-    spark = edges.sparkSession
-    e = edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    e = edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
     now = materialise(e.mapInArrow(_stars, "a long, b long"), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        near = Window.partitionBy("u")
         # large star: each larger neighbour is joined to the least of the neighbourhood
-        large = both.withColumn("m", F.least(F.min("v").over(near), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each node and its smaller neighbours are joined to the least of them
-        small = large.withColumn("m", F.min("v").over(near)).select(F.explode(F.array(F.struct(F.col("u").alias("b"), F.col("m").alias("a")), F.struct(F.col("v").alias("b"), F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("b"), F.col("m").alias("a")), F.struct(F.col("v").alias("b"), F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         then = materialise(small, "edges")
         sign = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
         now = then
-        if tuple(sign) == seen:
+        if tuple(sign) == seen or not sign[0]:
             break
         seen = tuple(sign)
-    else:
-        raise RuntimeError("components didn't settle")
-    del spark
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 

@@ -2,7 +2,7 @@
 
 A document's features are its distinct words (a set, so that frequent words don't drown the rest); each feature's
 hash votes on 256 bits and the majority gives the fingerprint. Two documents are near copies when their fingerprints
-differ in at most ``radius`` bits, of which at most ``half_radius`` are in the first half, whatever their numbers of words.
+differ in at most ``radius`` bits, whatever their numbers of words.
 
 Every pair of documents is held to this, without bands or buckets that could miss one: equal fingerprints are put
 together first, then fingerprints are ordered by population count and cut into stripes by quantiles. Each pair of
@@ -11,10 +11,13 @@ fingerprints with numpy's exclusive-or and bit count. A tile pair is skipped whe
 differ by more than the radius: no pair in it can qualify. Work inside the cells is quadratic in the number of distinct
 fingerprints (the price of exactness), memory and the size of each task aren't.
 
-A cell passes on the edges of a spanning forest, not all pairs, so a group of n copies costs n edges. Groups
-are the connected components. Defined results. Documents without words (null, empty or blank texts) are
+A cell passes on the edges of a spanning forest, not all pairs, so a group of n copies costs n edges; besides it counts
+each fingerprint's links, and as every pair has one cell, the sums are whole. Groups are the connected components.
+The population counts of texts lie within some 12 of each other's, so at a radius of 50 hardly any tile is skipped.
+
+Defined results. Documents without words (null, empty or blank texts) are
 in no group. Rows without an id are in no group. Of rows with the same id one counts, that with the longest, then
-greatest text. Identical texts always fall together. The empty table has no groups. Further columns don't matter.
+greatest text; dedupe keeps the others' further texts. Identical texts always fall together. The empty table has no groups. Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -95,8 +98,11 @@ def tile_pairs(pops: np.ndarray, tile: int, radius: int, other: np.ndarray | Non
                 yield i * tile, j * tile
 
 
-def close_pairs(a_sig, b_sig=None, radius: int = 50, half_radius: int = 34, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all near copies within one block of fingerprints (i < j) or between two."""
+def close_pairs(a_sig, b_sig=None, radius: int = 50, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all near copies within one block of fingerprints (i < j) or between two.
+
+    A tile compares the first half of the bits, and the second where the first is within the radius.
+    """
     same = b_sig is None
     pop = lambda s: np.bitwise_count(s[:, : WORDS // 2]).sum(1), lambda s: np.bitwise_count(s[:, WORDS // 2 :]).sum(1)
     pops = lambda s: np.stack([f(s) for f in pop], 1).astype(np.int64)
@@ -119,7 +125,7 @@ def close_pairs(a_sig, b_sig=None, radius: int = 50, half_radius: int = 34, tile
         np.bitwise_xor(a_cols[1][i : i + p, None], b_cols[1][None, j : j + q], out=xx)
         np.bitwise_count(xx, out=dd)
         np.add(cc, dd, out=cc)
-        hit = np.flatnonzero(cc <= half_radius)
+        hit = np.flatnonzero(cc <= radius)
         if not len(hit):
             continue
         u, v = np.divmod(hit, q)
@@ -136,26 +142,32 @@ def close_pairs(a_sig, b_sig=None, radius: int = 50, half_radius: int = 34, tile
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def _cell(radius: int, half_radius: int):
+def _cell(radius: int):
     def compare(table: pa.Table) -> pa.Table:
+        """Edges (a, b), and (a, null, n): so many links of a in this cell."""
         table = table.combine_chunks()
         ids = table["doc_id"].to_numpy()
         sig = np.stack([table[f"s{k}"].to_numpy().view(np.uint64) for k in range(WORDS)], 1) if len(ids) else np.empty((0, WORDS), np.uint64)
         side = table["side"].to_numpy()
-        args = {"radius": radius, "half_radius": half_radius}
         own, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if table["twofold"][0].as_py():
-            a, b = (own[x] if k == 0 else far[x] for k, x in enumerate(close_pairs(sig[own], sig[far], **args))) if len(own) and len(far) else (own[:0], far[:0])
+            a, b = (own[x] if k == 0 else far[x] for k, x in enumerate(close_pairs(sig[own], sig[far], radius))) if len(own) and len(far) else (own[:0], far[:0])
         else:
-            a, b = close_pairs(sig, **args)
+            a, b = close_pairs(sig, radius=radius)
         roots, nodes = common.spanning(ids[a], ids[b])
-        return pa.table({"a": pa.array(roots, pa.int64()), "b": pa.array(nodes, pa.int64())})
+        links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        some = np.flatnonzero(links)
+        return pa.table({
+            "a": pa.array(np.concatenate([roots, ids[some]]), pa.int64()),
+            "b": pa.concat_arrays([pa.array(nodes, pa.int64()), pa.nulls(len(some), pa.int64())]),
+            "n": pa.array(np.concatenate([np.zeros(len(roots), np.int64), links[some]]), pa.int64()),
+        })
 
     return compare
 
 
-def near_edges(sig: DataFrame, radius: int, half_radius: int, stripe_rows: int) -> DataFrame:
-    """(a, b): edges whose components are those of all near copies among fingerprints (doc_id, s0 ..)."""
+def near_edges(sig: DataFrame, radius: int, stripe_rows: int) -> DataFrame:
+    """(a, b, n) of fingerprints (doc_id, s0 ..): edges whose components are those of all near copies, and counts of links."""
     pop = sum((F.bit_count(f"s{k}") for k in range(1, WORDS)), F.bit_count("s0"))
     key = sig.withColumn("key", pop.cast("long") * (1 << 10) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 10))).withColumn("pop", pop)
     total = key.count()
@@ -174,35 +186,36 @@ def near_edges(sig: DataFrame, radius: int, half_radius: int, stripe_rows: int)
     plan = spark.createDataFrame([(s, c, side, two) for s, cs in cells.items() for c, side, two in cs] or [(-1, 0, 0, False)], "stripe int, cell int, side int, twofold boolean")
     # the plan has one row for each stripe and cell: at most 2048 x 2048, and a few hundred for most inputs
     placed = key.drop("key", "pop").join(F.broadcast(plan) if len(pairs) <= 100_000 else plan, "stripe")
-    return placed.groupBy("cell").applyInArrow(_cell(radius, half_radius), "a long, b long")
+    return placed.groupBy("cell").applyInArrow(_cell(radius), "a long, b long, n long")
+
 
+def near_copies(docs: DataFrame, radius: int = 50, stripe_rows: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, group_id, n_links) of every document that has a near copy.
 
-def near_copies(
-    docs: DataFrame, radius: int = 50, half_radius: int = 34, stripe_rows: int = 0, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, group_id) of every document that has a near copy; group_id is the least id of its group."""
-    docs = common.one_row_per_id(docs.select(common.column(id_col).alias("doc_id"), common.column(text_col).alias("text")), "doc_id", "text")
+    group_id is the least id of its group; n_links how many other fingerprints are within the radius of its own.
+    """
+    docs = common.one_row_per_id(docs.select(common.column(id_col).cast("long").alias("doc_id"), common.column(text_col).alias("text")), "doc_id", "text")
     sig = common.materialise(signatures(docs), "simhash")
     parts = [f"s{k}" for k in range(WORDS)]
-    heads = sig.groupBy(*parts).agg(F.min("doc_id").alias("doc_id"))
-    heads = common.materialise(heads, "heads")
+    heads = common.materialise(sig.groupBy(*parts).agg(F.min("doc_id").alias("doc_id")), "heads")
     rows = stripe_rows or max(4096, min(1 << 18, heads.count() // 8))
-    edges = near_edges(heads.select("doc_id", *parts), radius, half_radius, rows)
-    equal = sig.join(heads.select(*parts, F.col("doc_id").alias("head")), parts).filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    found = common.components(edges.unionByName(equal))
-    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
-
-
-def groups(docs: DataFrame, **options) -> DataFrame:
-    """(group_id, doc_ids, n_docs): the documents of each group of near copies, ascending; the first is the one to keep."""
-    found = near_copies(docs, **options)
-    return found.groupBy("group_id").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"), F.count("*").alias("n_docs"))
+    found = common.materialise(near_edges(heads.select("doc_id", *parts), radius, rows), "near")
+    heads_of = sig.select("doc_id", *parts).join(heads.select(*parts, F.col("doc_id").alias("head")), parts).select("doc_id", "head")
+    heads_of = common.materialise(heads_of, "heads")
+    equal = heads_of.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    roots = common.components(found.filter("b is not null").select("a", "b").unionByName(equal)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    links = found.filter("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n_links"))
+    return roots.join(heads_of, "doc_id").join(links, "head", "left").select("doc_id", "group_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without the near copies, except that with the least id of each group; rows without an id stay."""
+    """The rows of docs without the near copies, except that with the least id of each group; rows without an id stay.
+
+    Rows that share their id with the one that counts stay too where their text is another.
+    """
     found = near_copies(docs, id_col=id_col, text_col=text_col, **options)
-    drop = found.filter("doc_id <> group_id").select(F.col("doc_id").alias("__drop_id"))
-    one = common.one_row_per_id(docs, id_col, text_col)
-    kept = one.join(drop, common.column(id_col) == F.col("__drop_id"), "left_anti")
-    return kept.unionByName(docs.filter(common.column(id_col).isNull()))
+    gone = common.fresh(docs, "gone")
+    drop = found.filter("doc_id <> group_id").select(F.col("doc_id").alias(gone))
+    one, rest = common.by_id(docs, id_col, text_col)
+    kept = one.join(drop, common.column(id_col).cast("long") == F.col(gone), "left_anti").unionByName(docs.filter(common.column(id_col).isNull()))
+    return kept if rest is None else kept.unionByName(rest)

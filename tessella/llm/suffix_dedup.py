@@ -12,7 +12,7 @@ windows that occur more than once. A digit is the 64-bit hash of half the words
 
 In a shuffle a suffix is about 12 bytes: document and position as variable-length differences, 32 bits of the first
 digit (the bucket gives more of it) and 47 of the second. Two different windows count as equal
-with a chance of about 2**-86 for a pair.
+with a chance of about 2**-86 for a pair: over 10**13 suffixes about one false pair is to be expected.
 
 Windows that repeat make up *spans*: maximal runs of words covered by repeated windows. A window's first occurrence, by
 (doc_id, position), stays; words covered by a later occurrence of any window are to be removed.
@@ -247,13 +247,17 @@ def _spans(threshold: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start_word, end_word, removed): spans of words, counted from 0 and without the end, in repeated windows."""
+def repeated_spans(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_chars: int = 16 << 20) -> DataFrame:
+    """(doc_id, start_word, end_word, removed): spans of words, counted from 0 and without the end, in repeated windows.
+
+    A bucket gets the suffixes of about bucket_chars of text, so a task's share doesn't grow with the corpus.
+    """
     if threshold < 2:
         raise ValueError("a window has two words at least")
     docs = common.one_row_per_id(common.ids_and_text(docs, id_col, text_col), "doc_id", "text").filter("text is not null")
     parts = common.partitions(docs.sparkSession)
-    buckets = 2 * parts
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    buckets = max(2 * parts, -(-chars // bucket_chars))
     sent = docs.mapInArrow(_map(threshold, buckets, parts), _PACKED)
     found = sent.groupBy("bucket").applyInArrow(_reduce(parts), _PACKED.partition(", ")[2])
     return found.groupBy("part").applyInArrow(_spans(threshold), "doc_id long, start_word int, end_word int, removed boolean")
@@ -280,12 +284,14 @@ def cut_words(data: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.ndar
 def remove_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs without the words that repeat an earlier window; a document of which nothing is left goes.
 
-    Where docs has length_col, a shortened text's length in characters is written there. Rows without id stay as they are.
+    Where docs has length_col, a shortened text's length in characters is written there. Rows without id stay as they are,
+    and so do further texts of an id (those that don't count).
     """
     cuts = repeated_spans(docs, threshold, id_col, text_col).filter("removed").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("__cut_id"), F.col("cuts.start_word").alias("__cut_from"), F.col("cuts.end_word").alias("__cut_to"))
-    one = common.one_row_per_id(docs, id_col, text_col)
-    joined = one.join(cuts, common.column(id_col).cast("long") == F.col("__cut_id"), "left").drop("__cut_id")
+    at, start, stop = (common.fresh(docs, x) for x in ("at", "start", "stop"))
+    cuts = cuts.select(F.col("doc_id").alias(at), F.col("cuts.start_word").alias(start), F.col("cuts.end_word").alias(stop))
+    one, rest = common.by_id(docs, id_col, text_col)
+    joined = one.join(cuts, common.column(id_col).cast("long") == F.col(at), "left").drop(at)
     length_kind = dict(docs.dtypes).get(length_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,4 +318,5 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id",
                     out = out.filter(pc.invert(pc.fill_null(blank, False)))
                 yield out
 
-    return joined.mapInArrow(run, docs.schema).unionByName(docs.filter(common.column(id_col).isNull()))
+    kept = joined.mapInArrow(run, docs.schema).unionByName(docs.filter(common.column(id_col).isNull()))
+    return kept if rest is None else kept.unionByName(rest)
