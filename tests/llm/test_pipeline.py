@@ -49,14 +49,23 @@ def _brute(spark, path: str) -> dict[int, int]:
         if r.doc_id is not None and (len(r.text), r.text) > (len(best.get(r.doc_id, "")), best.get(r.doc_id, "")):
             best[r.doc_id] = r.text
     sign = {i: (int(n[0]), s[0]) for i, t in best.items() for n, s in [simhash.fingerprints(*common.as_bytes(pa.array([t])))]}
-    forest = common.Forest()
     ids = sorted(best)
+    root = {i: i for i in ids}
+    pairs = []
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             bits = np.bitwise_count(sign[a][1] ^ sign[b][1])
-            if bits.sum() <= 50 and bits[:2].sum() <= 34:
-                forest.join(a, b)
-    kept = _repeats_cut({i: best[i] for i in ids if forest.find(i) == i}, 50)
+            if bits.sum() <= 50:
+                pairs.append((a, b))
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    texts = {i: best[i] for i in ids if root[i] == i}
+    for r in rows:  # a further text of an id stays, here in place of a near copy that went
+        if r.doc_id is not None and r.text != best[r.doc_id]:
+            assert r.doc_id not in texts
+            texts[r.doc_id] = r.text
+    kept = _repeats_cut(texts, 50)
     left = spark.createDataFrame([(i, t) for i, t in kept.items()] + [(None, r.text) for r in rows if r.doc_id is None], "doc_id long, text string")
     model = pii.fit(left)
     clean = []

@@ -19,25 +19,27 @@ def _documents() -> list[tuple]:
     return [*texts, (5000, texts[0][1]), (5001, None), (5002, "  "), (None, texts[0][1]), (5003, "one"), (5003, texts[2][1])]
 
 
-def _brute(rows: list[tuple]) -> tuple[dict[int, list[int]], int]:
-    """Groups, and how many pairs with fewer than 0.8 as many words on one side are in them."""
+def _brute(rows: list[tuple]) -> tuple[dict[int, tuple[int, int]], int]:
+    """Least document of the group and number of links of each near copy, and how many pairs with fewer than 0.8 as many words on one side are in them."""
     best: dict[int, str] = {}
     for i, t in rows:
         if i is not None and t and t.split() and (len(t), t) > (len(best.get(i, "")), best.get(i, "")):
             best[i] = t
     ids = sorted(best)
     sizes, sig = simhash.fingerprints(*common.as_bytes(pa.array([best[i] for i in ids])))
-    forest, uneven = common.Forest(), 0
+    pairs, uneven = [], 0
     for k, a in enumerate(ids):
         for j in range(k + 1, len(ids)):
             bits = np.bitwise_count(sig[k] ^ sig[j]).astype(int)
-            if bits.sum() <= 50 and bits[:2].sum() <= 34:
-                forest.join(a, ids[j])
+            if bits.sum() <= 50:
+                pairs.append((k, j))
                 uneven += min(sizes[k], sizes[j]) < 0.8 * max(sizes[k], sizes[j])
-    found: dict[int, list[int]] = {}
-    for i in ids:
-        found.setdefault(forest.find(i), []).append(i)
-    return {g: m for g, m in found.items() if len(m) > 1}, uneven
+    root = list(range(len(ids)))
+    for _ in ids:
+        for k, j in pairs:
+            root[k] = root[j] = min(root[k], root[j])
+    links = lambda k: len({tuple(sig[i + j - k]) for i, j in pairs if k in (i, j)} - {tuple(sig[k])})
+    return {ids[k]: (ids[root[k]], links(k)) for k in range(len(ids)) if any(k in p for p in pairs)}, uneven
 
 
 def test_groups_equal_brute_force_whatever_the_word_numbers(spark):
@@ -46,7 +48,7 @@ def test_groups_equal_brute_force_whatever_the_word_numbers(spark):
     assert uneven > 3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for stripe_rows in (0, 16):  # one stripe, and several
-        got = {r.group_id: list(r.doc_ids) for r in simhash.groups(docs, stripe_rows=stripe_rows).collect()}
+        got = {r.doc_id: (r.group_id, r.n_links) for r in simhash.near_copies(docs, stripe_rows=stripe_rows).collect()}
         assert got == want
 
 
@@ -56,8 +58,29 @@ def test_tiles_hold_every_close_pair():
     sig[200:] = sig[:100]
     sig[200:, 3] ^= rng.integers(0, 1 << 40, 100, dtype=np.uint64)
     bits = np.bitwise_count(sig[:, None] ^ sig[None]).astype(int)
-    close = (bits.sum(2) <= 50) & (bits[:, :, :2].sum(2) <= 34)
+    close = bits.sum(2) <= 50
     a, b = simhash.close_pairs(sig, tile=32)
     assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in zip(*np.nonzero(close), strict=True) if i < j}
     a, b = simhash.close_pairs(sig[:150], sig[150:], tile=32)
     assert set(zip(a.tolist(), (b + 150).tolist(), strict=True)) == {(i, j) for i, j in zip(*np.nonzero(close), strict=True) if i < 150 <= j}
+
+
+def test_dedupe_keeps_one_of_each_group_and_further_texts_of_an_id(spark):
+    rows = _documents() + [(7777, None), (7777, "x y z"), (7777, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as __gone", "2 as __rid", "3 as count", "4 as cell", "5 as s0")
+    want, _ = _brute(rows)
+    kept = [(r.doc_id, r.text) for r in simhash.dedupe(docs).collect()]
+    gone = {i for i, (g, _) in want.items() if i != g}
+    assert len(kept) == len(set(kept)) and {i for i, _ in kept} >= {i for i, _ in rows if i not in gone}
+    assert (None, rows[0][1]) in kept and (7777, "x y z") in kept and (7777, None) in kept
+    assert ((5003, "one") in kept) and ((5003, rows[2][1]) not in kept)
+    assert simhash.dedupe(docs.limit(0)).count() == 0 and simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_very_many_short_and_one_very_long_text():
+    texts = pa.array(["w%d" % (i % 7) for i in range(70000)] + ["long " * 500000])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    parts = list(common.slices(batch))
+    assert sum(p.num_rows for p in parts) == 70001 and max(p.num_rows for p in parts) <= 1 << 16
+    sizes, _ = simhash.fingerprints(*common.as_bytes(texts))
+    assert (sizes == 1).all()
