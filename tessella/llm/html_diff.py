@@ -9,7 +9,8 @@ host's template rather than the page's content, are deleted.
 
 A host of any size is handled in pieces: places are ordered with range partitions over (host, path), and each
 piece hands the places at its two ends to its neighbours, so no host need fit into one task. Only keys are ordered; the
-lines of a place and its nearest are joined to them afterwards.
+64-bit hashes of the lines of a place and its nearest are joined to them afterwards, and what comes of it, a bit for each
+line, to the texts, which are made from the pages a second time and so move once. Lines with equal hashes count as equal.
 
 Defined results. A page that is alone on its host (or whose host has only copies of it) keeps all its lines. Null HTML or
 a null URL: a row with null text. HTML without text, or where every line is shared: empty text. Repeated rows get equal
@@ -29,24 +30,104 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-_DROP = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|head(?=[\s>]))\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)")
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
-_BREAK = re.compile(
-    r"(?i)</?(?:p|div|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|table|thead|tbody|tr|td|th|section|article|header|footer|nav|aside|main|form|fieldset|blockquote|pre|figure|figcaption|address|body|html|option|select|details|summary)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_BREAKS = frozenset(
+    "p div br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th section article header footer nav aside main form"
+    " fieldset blockquote pre figure figcaption address body html option select details summary".split()
 )
-_TAG = re.compile(r"<[/!?a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+#: Elements whose content isn't read; of the first two it ends with the page where the end tag is missing.
+_UNREAD = frozenset("script style noscript template svg iframe title textarea head".split())
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile(r"[>\"']")
+
+
+class _Scanner:
+    """Finds the ends of tags and of unread elements. Each search that finds nothing is made once, so a page takes linear time."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.quoted, self.dead, self.missing = html, True, set(), set()
+
+    def tag_end(self, at: int) -> int:
+        """Position after the > of the tag whose name ends at ``at``, or -1; a > in a quoted value ends no tag."""
+        html, i = self.html, at
+        while self.quoted:
+            m = _QUOTE.search(html, i)
+            if m is None:  # an open quote swallowed the rest: from here on every > ends a tag
+                self.quoted = False
+                break
+            q, i = m.group(), m.end()
+            if q == ">":
+                return i
+            k = m.start() - 1
+            while html[k].isspace():
+                k -= 1
+            if html[k] == "=" and q not in self.dead:
+                to = html.find(q, i)
+                if to < 0:
+                    self.dead.add(q)
+                else:
+                    i = to + 1
+        return html.find(">", at) + 1 or -1
+
+    def content_end(self, name: str, at: int) -> int:
+        """Position of the end tag of an unread element, or -1."""
+        return self._search(rf"</{name}(?=[\s/>])", at)
+
+    def body(self, at: int) -> int:
+        return self._search(r"<body(?=[\s/>])", at)
+
+    def _search(self, pattern: str, at: int) -> int:
+        if pattern in self.missing:
+            return -1
+        m = re.compile(pattern, re.I).search(self.html, at)
+        if m is None:
+            self.missing.add(pattern)
+            return -1
+        return m.start()
 
 
 def lines_of(html: str) -> list[str]:
-    """Lines of visible text."""
-    text = _DROP.sub(" ", html)
-    text = _BREAK.sub("\n", text.replace("\r", "\n"))
-    text = entities.unescape(_TAG.sub("", text))
+    """Lines of visible text.
+
+    Comments and the content of scripts, styles, the head and the like are left out. A missing end tag costs the rest of
+    the page only for comments, scripts and styles; a head without one ends where the body begins, or at once.
+    """
+    scan, out, i, n = _Scanner(html), [], 0, len(html)
+    while i < n:
+        j = html.find("<", i)
+        if j < 0 or j + 1 == n:
+            out.append(html[i:])
+            break
+        out.append(html[i:j])
+        if html.startswith("<!--", j):
+            k = html.find("-->", j + 4)
+            i = k + 3 if k >= 0 else n
+            out.append(" ")
+            continue
+        m = _NAME.match(html, j + 1)
+        if m is None and html[j + 1] not in "!?/":
+            out.append("<")
+            i = j + 1
+            continue
+        end = scan.tag_end(m.end() if m else j + 1)
+        if end < 0:  # no tag ends after this: the rest is text
+            out.append(html[j:])
+            break
+        i = end
+        name = m.group(1).lower() if m else ""
+        if name in _BREAKS:
+            out.append("\n")
+        elif name in _UNREAD and html[j + 1] != "/":
+            k = scan.content_end(name, i)
+            if k < 0 and name == "head":
+                k = max(i, scan.body(i))
+            i = k if k >= 0 else n if name in ("script", "style") else i
+            out.append(" ")
+    text = entities.unescape("".join(out).replace("\r", "\n"))
     return [s for s in (" ".join(x.split()) for x in text.split("\n")) if s]
 
 
-def unshared(a: list[str], b: list[str]) -> list[str]:
-    """Lines of a outside a longest common subsequence with b.
+def unshared(a: list, b: list) -> list[int]:
+    """Positions of the lines of a outside a longest common subsequence with b.
 
     Common ends are set aside, lines that only one page has are in no common subsequence; the rest is solved by
     bit-parallel rows in memory linear in the lengths (Hirschberg's halving).
@@ -62,7 +143,7 @@ def unshared(a: list[str], b: list[str]) -> list[str]:
     have = {a[i] for i in mine}
     other = [x for x in inner_b if x in have]
     shared = {mine[k] for k in _common([a[i] for i in mine], other)} if mine and other else set()
-    return [a[i] for i in range(lo, hi_a) if i not in shared]
+    return [i for i in range(lo, hi_a) if i not in shared]
 
 
 def _common(a: list[str], b: list[str]) -> list[int]:
@@ -130,23 +211,36 @@ def closeness(a: str, b: str) -> tuple[int, int]:
     return n, m
 
 
-_LIGHT = "page_id long, host string, path string, sign long, body binary"
+def _digest(lines: list[str]) -> tuple[int, bytes]:
+    """A page's sign and the 64-bit hashes of its lines."""
+    import xxhash
+
+    codes = b"".join(xxhash.xxh3_64_digest(x.encode("utf-8", "surrogatepass")) for x in lines)
+    return xxhash.xxh3_64_intdigest(codes) - (1 << 63), codes
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+    for whole in batches:
+        for part in common.slices(whole, "html"):
+            rows = []
+            for page, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                rows.append((page, *split_url(url), *_digest(lines_of(html))))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["page_id", "host", "path", "sign", "codes"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=6, write_content_size=True)
     for whole in batches:
         for part in common.slices(whole, "html"):
             rows = []
             for page, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                host, path = split_url(url)
-                text = "\n".join(lines_of(html)).encode()
-                rows.append((page, host, path, xxhash.xxh3_64_intdigest(text) - (1 << 63), pack.compress(text)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["page_id", "host", "path", "sign", "body"])
+                lines = lines_of(html)
+                rows.append((page, split_url(url)[0], _digest(lines)[0], pack.compress("\n".join(lines).encode("utf-8", "replace"))))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["page_id", "host", "sign", "body"])
 
 
 def nearest(places: DataFrame) -> DataFrame:
@@ -180,31 +274,41 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    def lines(body: bytes | None) -> list[str]:
-        text = zstandard.decompress(body).decode() if body else ""
-        return text.split("\n") if text else []
-
     for part in batches:
         rows = []
-        for body, near in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-            own = lines(body)
-            left = unshared(own, lines(near))
-            rows.append(("\n".join(left), len(own), len(own) - len(left)))
+        for own, near in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            a, b = (np.frombuffer(x or b"", np.int64).tolist() for x in (own, near))
+            keep = np.zeros(len(a), bool)
+            keep[(left := unshared(a, b))] = True
+            rows.append((np.packbits(keep).tobytes(), len(a), len(a) - len(left)))
         cols = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32()), strict=True))], ["host", "sign", "text", "n_lines", "n_shared"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32()), strict=True))], ["host", "sign", "keep", "n_lines", "n_shared"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    for part in batches:
+        texts = []
+        for body, keep, n in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            lines = unpack.decompress(body).decode().split("\n") if n else []
+            kept = np.unpackbits(np.frombuffer(keep, np.uint8), count=n).tolist() if n else []
+            texts.append("\n".join(x for x, k in zip(lines, kept, strict=True) if k))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), part.column(3), part.column(4)], ["page_id", "text", "n_lines", "n_shared"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, text, n_lines, n_shared) for each page; text has a line for each line kept."""
-    given = pages.select(common.column(id_col).cast("long").alias("page_id"), common.column(url_col).alias("url"), common.column(html_col).alias("html"))
+    given = pages.select(common.column(id_col).cast("long").alias("page_id"), common.column(url_col).cast("string").alias("url"), common.column(html_col).cast("string").alias("html"))
     whole = given.filter("url is not null and html is not null")
     void = given.filter("url is null or html is null").select("page_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("int").alias("n_shared"))
-    read = common.materialise(whole.select("page_id", "url", "html").mapInArrow(_read, _LIGHT), "pages")
-    places = read.groupBy("host", "sign").agg(F.min_by("path", F.split("path", "/")).alias("path"))
-    bodies = read.groupBy("host", "sign").agg(F.first("body").alias("body"))
-    other = bodies.select("host", F.col("sign").alias("near"), F.col("body").alias("near_body"))
-    pairs = nearest(places).join(bodies, ["host", "sign"]).join(other, ["host", "near"], "left")
-    text = pairs.select("host", "sign", "body", "near_body").mapInArrow(_differ, "host string, sign long, text string, n_lines int, n_shared int")
-    return read.select("page_id", "host", "sign").join(text, ["host", "sign"]).select("page_id", "text", "n_lines", "n_shared").unionByName(void)
+    read = whole.mapInArrow(_read, "page_id long, host string, path string, sign long, codes binary")
+    places = read.groupBy("host", "sign").agg(F.min_by("path", F.split("path", "/")).alias("path"), F.first("codes").alias("codes"))
+    places = common.materialise(places, "places")
+    other = places.select("host", F.col("sign").alias("near"), F.col("codes").alias("near_codes"))
+    pairs = nearest(places.select("host", "sign", "path")).join(places.select("host", "sign", "codes"), ["host", "sign"]).join(other, ["host", "near"], "left")
+    kept = pairs.select("host", "sign", "codes", "near_codes").mapInArrow(_differ, "host string, sign long, keep binary, n_lines int, n_shared int")
+    texts = whole.mapInArrow(_texts, "page_id long, host string, sign long, body binary")
+    found = texts.join(kept, ["host", "sign"]).select("page_id", "body", "keep", "n_lines", "n_shared")
+    return found.mapInArrow(_cut, "page_id long, text string, n_lines int, n_shared int").unionByName(void)

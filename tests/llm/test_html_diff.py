@@ -35,7 +35,7 @@ def _brute(rows: list[tuple]) -> list[tuple]:
         near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order)]
         best = max(near, key=lambda x: html_diff.closeness(order[at][0], x[0]), default=None)  # the first of equals: the predecessor
         own = text.split("\n") if text else []
-        left = html_diff.unshared(own, best[1].split("\n") if best and best[1] else [])
+        left = [own[i] for i in html_diff.unshared(own, best[1].split("\n") if best and best[1] else [])]
         out.append((page, "\n".join(left), len(own), len(own) - len(left)))
     return out
 
@@ -74,3 +74,31 @@ def test_unshared_is_a_longest_common_subsequence():
             for j, y in enumerate(b):
                 row[j + 1] = above[j] + 1 if x == y else max(above[j + 1], row[j])
         assert len(a) - len(html_diff.unshared(a, b)) == row[-1]
+
+
+def test_broken_markup():
+    lines = html_diff.lines_of
+    assert lines("<html><head><title>T</title><body><p>hello</p>") == ["hello"]
+    assert lines("<head><style>x<p>hello</p>") == []
+    assert lines("a < b <p x>c") == ["a < b", "c"]
+    assert lines("<p title=it's>a</p><p title=\"x>y\">b</p>") == ["a", "b"]
+    assert lines("<p title=\"x>a<b>b</b>") == ["ab"]
+    assert lines("one<!-- x --> two<br>three &amp; four<script>if (a<b) '</p>'</script>!") == ["one two", "three & four !"]
+    assert lines("x<svg><p>y") == ["x", "y"]
+    assert lines("") == lines("<") [:0] and lines("a<") == ["a<"]
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    for part in ('<a href="x ', "<p x", "<p title='", "<svg>", "<head>", "<!x", "<a href= ", "</", "<script"):
+        html_diff.lines_of(part * 40000)
+    assert time.process_time() - began < 10
+
+
+def test_clashing_columns_and_very_long_pages(spark):
+    rows = [(1, "http://h.example/a", "<p>m</p>" * 20000, "k"), (2, "http://h.example/b", "<p>m</p>" * 19999 + "<p>z</p>", "k")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").selectExpr("*", "1 as sign", "2 as keep", "3 as near")
+    got = {r.page_id: tuple(r)[1:] for r in html_diff.extract(df).collect()}
+    assert got == {1: ("m", 20000, 19999), 2: ("z", 20000, 19999)}
