@@ -1 +1 @@
-
+"""Named queries over the standard tables, and the SQL that checks them."""
