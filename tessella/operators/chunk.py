@@ -39,7 +39,7 @@ def sentence_packs(value: Column, n_words: int) -> Column:
     """
     if n_words < 1:
         raise ValueError("n_words must be positive")
-    parts = F.split(F.regexp_replace(value, "[.;]$", ""), "[.;]")
+    parts = F.split(F.regexp_replace(value, r"[.;]\z", ""), "[.;]")
     sentences = F.transform(parts, lambda s: text.words(F.concat(s, F.lit("."))))
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), none.alias("open"))

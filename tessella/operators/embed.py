@@ -134,7 +134,7 @@ class HashingEmbedder(Embedder):
         """The same vector in the JVM alone, for plans that must not leave it; slower than the Arrow way for long texts."""
         bucket = F.transform(text_functions.tokens(value), lambda t: text_functions.hash_bucket(t, self.dim))
         counts = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda d: F.size(F.filter(bucket, lambda b: b == d)).cast("double"))
-        return F.transform(counts, F.log1p) if self.sparse else vector.l2_normalize(counts)
+        return F.when(value.isNotNull(), F.transform(counts, F.log1p) if self.sparse else vector.l2_normalize(counts))
 
 
 class MultiVectorEmbedder:

@@ -2,7 +2,7 @@
 
 A scan is Spark's own binary file source, recursive, with the wanted extensions as its filter; columns that a query
 doesn't use, the content above all, aren't read. Extensions are matched without regard to case and given with or without a
-dot. A missing directory or file is a FileNotFoundError where the scan is made.
+dot. A missing directory or file is a FileNotFoundError where the scan is made. Files of no bytes are left out.
 """
 
 from __future__ import annotations
