@@ -96,5 +96,26 @@ where t.id is not null or (r.n_copies > 1 and r.nn > 0)
 """
 
 
+#: All windows of 50 words as strings, the words that repeated ones cover, and the runs of those.
+SUFFIX_SQL = r"""
+with one as (
+  select doc_id, arg_max(text, {'n': length(text), 't': text}) as text from documents where doc_id is not null and text is not null group by doc_id
+), split as (
+  select doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '') as w from one
+), windows as (
+  select doc_id, pos, array_to_string(w[pos + 1:pos + 50], ' ') as win from (select doc_id, w, unnest(range(0, len(w) - 49)) as pos from split where len(w) >= 50)
+), repeated as (
+  select win, min({'d': doc_id, 'a': pos}) as first from windows group by win having count(*) > 1
+), covered as (
+  select doc_id, word, bool_or(later) as removed from (
+    select doc_id, unnest(range(pos, pos + 50)) as word, {'d': doc_id, 'a': pos} <> first as later from windows join repeated using (win))
+  group by doc_id, word
+)
+select doc_id, min(word)::int as start_word, (max(word) + 1)::int as end_word, removed from (
+  select *, word - row_number() over (partition by doc_id, removed order by word) as run from covered)
+group by doc_id, removed, run
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lattice_dedup": LATTICE_SQL}
+    return {"op5_lattice_dedup": LATTICE_SQL, "op7_suffix_dedup": SUFFIX_SQL}

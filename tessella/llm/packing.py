@@ -56,16 +56,16 @@ def master(demand: np.ndarray, sizes: np.ndarray, capacity: int, tolerance: floa
     m = len(sizes)
     patterns = np.diag(capacity // sizes)
     inverse = np.diag(1.0 / np.diag(patterns))  # of the basis with patterns as columns
-    amount = inverse @ demand
+    amount = np.einsum("ij,j->i", inverse, demand)
     for turn in range(rounds):
         if turn % 200 == 199:
             inverse = np.linalg.inv(patterns.T.astype(float))
-            amount = inverse @ demand
+            amount = np.einsum("ij,j->i", inverse, demand)
         duals = inverse.sum(0)
         value, column = knapsack(duals, sizes, capacity)
         if value <= 1 + tolerance:
             break
-        way = inverse @ column
+        way = np.einsum("ij,j->i", inverse, column)  # not by BLAS, whose threads wait for each other on a busy driver
         ok = way > 1e-9
         ratio = np.full(m, np.inf)
         ratio[ok] = np.maximum(amount[ok], 0) / way[ok]

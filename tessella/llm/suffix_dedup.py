@@ -255,12 +255,12 @@ def repeated_spans(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id",
     if threshold < 2:
         raise ValueError("a window has two words at least")
     docs = common.one_row_per_id(common.ids_and_text(docs, id_col, text_col), "doc_id", "text").filter("text is not null")
-    parts = common.partitions(docs.sparkSession)
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    buckets = max(2 * parts, -(-chars // bucket_chars))
-    sent = docs.mapInArrow(_map(threshold, buckets, parts), _PACKED)
+    buckets = max(2 * common.partitions(docs.sparkSession), -(-chars // bucket_chars))
+    parts = buckets // 2  # the number of tasks follows the corpus where that outgrows the session's setting
+    sent = docs.mapInArrow(_map(threshold, buckets, parts), _PACKED).repartition(parts, "bucket")
     found = sent.groupBy("bucket").applyInArrow(_reduce(parts), _PACKED.partition(", ")[2])
-    return found.groupBy("part").applyInArrow(_spans(threshold), "doc_id long, start_word int, end_word int, removed boolean")
+    return found.repartition(parts, "part").groupBy("part").applyInArrow(_spans(threshold), "doc_id long, start_word int, end_word int, removed boolean")
 
 
 def cut_words(data: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
