@@ -44,10 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Tables of materialise() that are still there.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to a table in the shared folder and read back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{label}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessella_path = path
@@ -58,9 +63,20 @@ def discard(df: DataFrame) -> None:
     """Delete a table of materialise() that no later result reads."""
     path = getattr(df, "_tessella_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table of materialise() that this process wrote: once the results that read them are written."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -198,7 +198,7 @@ def near_copies(docs: DataFrame, radius: int = 50, stripe_rows: int = 0, id_col:
     sig = common.materialise(signatures(docs), "simhash")
     parts = [f"s{k}" for k in range(WORDS)]
     heads = common.materialise(sig.groupBy(*parts).agg(F.min("doc_id").alias("doc_id")), "heads")
-    rows = stripe_rows or max(4096, min(1 << 18, heads.count() // 8))
+    rows = stripe_rows or max(4096, min(1 << 16, heads.count() // 8))
     found = common.materialise(near_edges(heads.select("doc_id", *parts), radius, rows), "near")
     heads_of = sig.select("doc_id", *parts).join(heads.select(*parts, F.col("doc_id").alias("head")), parts).select("doc_id", "head")
     heads_of = common.materialise(heads_of, "heads")
