@@ -25,8 +25,8 @@ SMALL_BYTES = 32 << 20
 HIT = "query_id long, doc_id long, score double"
 
 
-def _rows(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
-    out = df.select(F.col(id_col).cast("long").alias(name), F.col(vec_col).cast("array<double>").alias("vec"))
+def _rows(df: DataFrame, id_col: str, vec_col: str, name: str, *keep: str) -> DataFrame:
+    out = df.select(F.col(id_col).cast("long").alias(name), F.col(vec_col).cast("array<double>").alias("vec"), *(F.col(c).cast("long").alias(c) for c in keep))
     return out.filter(f"{name} is not null and vec is not null and forall(vec, x -> x is not null)")
 
 
@@ -109,7 +109,8 @@ def knn(
     return _top(_cells(asked, rows, k, metric, dim, skip_self), k)
 
 
-def _cells(asked: DataFrame, rows: DataFrame, k: int, metric: str, dim: int, skip_self: bool, query_rows: int = 4096, corpus_rows: int = 1 << 16) -> DataFrame:
+def _cells(asked: DataFrame, rows: DataFrame, k: int, metric: str, dim: int, skip_self: bool, query_rows: int = 4096, corpus_rows: int = 1 << 16, within: str | None = None) -> DataFrame:
+    """The best rows of each cell of (set of queries, stripe of the corpus), with within also of one value of that column."""
     sets, stripes = (max(1, -(-df.count() // n)) for df, n in ((asked, query_rows), (rows, corpus_rows)))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(sets))).withColumn("stripe", spread(stripes))
@@ -120,7 +121,8 @@ def _cells(asked: DataFrame, rows: DataFrame, k: int, metric: str, dim: int, ski
         best.add(c["doc_id"].to_numpy(), _matrix(c["vec"], dim))
         return pa.table(best.rows(), names=["query_id", "doc_id", "score"])
 
-    return left.groupBy("stripe", "part").cogroup(right.groupBy("stripe", "part")).applyInArrow(cell, HIT)
+    keys = ["stripe", "part", *([within] if within else [])]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, HIT)
 
 
 def best_hit(hits: DataFrame) -> DataFrame:
@@ -227,13 +229,15 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, lists: DataFrame, k: int, pr
     """(query_id, doc_id, score, rank) by cosine among the rows of the probes lists whose centroids are nearest.
 
     queries (query_id, vec), corpus (doc_id, vec, list_col), lists (list_col, centroid). Each list is joined with the
-    queries that probe it, so the work is that of the probed lists alone.
+    queries that probe it in cells of bounded size, so the work is that of the probed lists alone and a long list is split.
     """
     near = knn(queries, lists, probes, "cosine", id_col=list_col, vec_col="centroid").select("query_id", F.col("doc_id").alias(list_col))
-    asked = near.join(queries.select("query_id", F.col("vec").alias("query_vec")), "query_id")
-    met = corpus.join(asked, list_col).filter(F.col("doc_id") != F.col("query_id"))
-    score = F.round(vector.cosine(F.col("query_vec"), F.col("vec")), 6)
-    return _top(met.select("query_id", "doc_id", score.alias("score")), k)
+    asked = near.join(_rows(queries, "query_id", "vec", "query_id"), "query_id")
+    rows = _rows(corpus, "doc_id", "vec", "doc_id", list_col)
+    first = asked.select(F.size("vec").alias("dim")).first()
+    if first is None:
+        return corpus.sparkSession.createDataFrame([], HIT + ", rank long")
+    return _top(_cells(asked, rows.filter(F.size("vec") == first["dim"]), k, "cosine", first["dim"], True, within=list_col), k)
 
 
 def term_weights(tokens: DataFrame) -> DataFrame:
@@ -250,9 +254,11 @@ def idf(tokens: DataFrame, n_docs: int) -> DataFrame:
 def sparse_topk(query_tokens: DataFrame, doc_tokens: DataFrame, n_docs: int, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) by the sum over common tokens of both weights times the idf.
 
-    query_tokens (doc_id, token) are joined with the documents' tokens as with an inverted file; sums are partial
-    aggregates, so a token that every document has doesn't weigh on one task.
+    query_tokens (doc_id, token) are joined with the documents' tokens as with an inverted file; tokens that no query has
+    leave before anything is counted, and sums are partial aggregates, so a token that every document has doesn't weigh on
+    one task.
     """
+    doc_tokens = doc_tokens.join(query_tokens.select("token").distinct(), "token", "left_semi").select("doc_id", "token")
     w = term_weights(doc_tokens)
     q = term_weights(query_tokens).select(F.col("doc_id").alias("query_id"), "token", F.col("weight").alias("query_weight"))
     q = q.join(idf(doc_tokens, n_docs).select("token", "idf"), "token")

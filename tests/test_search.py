@@ -117,3 +117,34 @@ def test_pooling_three_ways(spark, masks, how, want):
     assert [r.vec for r in f(table).orderBy("doc").collect()] == want
     with pytest.raises(ValueError, match="padding"):
         embed.pool(np.array(HIDDEN), np.array([[0, 0, 0], [1, 1, 1]]), Pooling.CLS)
+
+
+def test_inverted_lists(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((90, 5))
+    label = np.arange(90) % 6
+    rows = [(int(i), x.tolist(), int(g)) for i, (x, g) in enumerate(zip(v, label, strict=True))] + [(500, None, 1), (501, [1.0], 1), (502, [1.0] * 5, None)]
+    df = spark.createDataFrame(rows, V + ", label long")
+    asked = df.filter("doc_id % 30 = 0").select(F.col("doc_id").alias("query_id"), "vec")
+    lists = search.centroids(df.filter("doc_id < 500"), "label", 5)
+    center = {g: v[label == g].mean(0) for g in range(6)}
+    cos = lambda a, b: round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6)
+    for probes in (2, 6):
+        got = {}
+        for r in search.ivf_topk(asked, df, lists, 4, probes).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.doc_id)
+        for q in (0, 30, 60):
+            near = sorted(range(6), key=lambda g: (-cos(v[q], center[g]), g))[:probes]
+            want = sorted((i for i in range(90) if label[i] in near and i != q), key=lambda i: (-cos(v[q], v[i]), i))[:4]
+            assert got[q] == want
+    assert search.ivf_topk(asked.limit(0), df, lists, 4, 2).count() == 0
+
+
+def test_sparse_search(spark):
+    docs = {1: "a b b c", 2: "b c", 3: "d", 4: "a a a"}
+    tokens = spark.createDataFrame([(i, t) for i, x in docs.items() for t in x.split()], "doc_id long, token string")
+    asked = spark.createDataFrame([(9, "a"), (9, "b"), (8, "zzz")], "doc_id long, token string")
+    idf = {t: np.log(1 + (4 - n + 0.5) / (n + 0.5)) for t, n in (("a", 2), ("b", 2))}
+    want = {1: np.log(2) ** 2 * idf["a"] + np.log(3) * np.log(2) * idf["b"], 2: np.log(2) ** 2 * idf["b"], 4: np.log(4) * np.log(2) * idf["a"]}
+    got = {r.doc_id: r.score for r in search.sparse_topk(asked, tokens, 4, 5).collect()}
+    assert got == {i: round(s, 6) for i, s in want.items()}
