@@ -13,6 +13,7 @@ from tessella.config import TextEmbedConfig, VideoEmbedConfig
 from tessella.operators import chunk, media
 from tessella.operators.adapters import Adapter
 from tessella.operators.embed import Embedder, MultiVectorEmbedder
+from tessella.operators.vision import ImageEmbedder, PageEmbedder
 from tessella.sources import files
 from tessella.streaming.index import chunk_rows
 
@@ -64,6 +65,18 @@ def embed_pages(pages: DataFrame, embedder: Embedder, config: TextEmbedConfig |
     return _out(rows.select("embedding", F.col("chunk").alias("text"), F.col("url").alias("file_name"), none.alias("modified"), none.alias("created"), "chunk_idx"), adapter)
 
 
+def embed_images(spark: SparkSession, directory: str, embedder: ImageEmbedder, adapter: Adapter | None = None) -> DataFrame | None:
+    """(embedding, text, file_name, modified, created, error) of the images below a directory; text is null."""
+    rows = embedder.embed(files.scan_images(spark, directory).select("path", "modified", "content"))
+    none = F.lit(None).cast("string")
+    return _out(rows.select("embedding", none.alias("text"), F.col("path").alias("file_name"), "modified", none.alias("created"), "error"), adapter)
+
+
+def embed_pages_multi(pages: DataFrame, embedder: PageEmbedder) -> DataFrame:
+    """Page images (…, page) with a vector for each tile."""
+    return embedder.embed(pages)
+
+
 def embed_segments(segments: DataFrame, embedder: Embedder) -> DataFrame:
     """Audio segments (start, duration, text, file_name)."""
     return embedder.embed(media.segment_rows(segments), "text")

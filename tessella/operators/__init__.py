@@ -1,5 +1,5 @@
 """Operators over DataFrames."""
 
-from tessella.operators import adapters, chunk, embed, media, pooling, rerank, search
+from tessella.operators import adapters, chunk, embed, media, pooling, rerank, search, vision
 
-__all__ = ["adapters", "chunk", "embed", "media", "pooling", "rerank", "search"]
+__all__ = ["adapters", "chunk", "embed", "media", "pooling", "rerank", "search", "vision"]
