@@ -7,11 +7,12 @@ no Python object is made per word. A word here is a longest run of bytes other t
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy pass looks at together; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 # -- shared folder
@@ -121,6 +122,28 @@ def one_row_per_id(df: DataFrame, id_col: str, text_col: str, order: list[Column
     return by_id(df, id_col, text_col, order)[0]
 
 
+# -- memory of the Python workers
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Spark keeps its Python workers for later stages, which bring their own needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow, with trim() when a task's batches are done."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 # -- text as bytes
 
 

@@ -122,7 +122,7 @@ def identify(docs: DataFrame, profiles: dict[str, bytes], least_margin: float =
                 language, margin, accepted = judge.judge(part.column(1), least_margin)
                 yield pa.RecordBatch.from_arrays([part.column(0), language, pa.array(margin), pa.array(accepted)], ["doc_id", "language", "margin", "accepted"])
 
-    return common.ids_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, language string, margin double, accepted boolean")
+    return common.ids_and_text(docs, id_col, text_col).mapInArrow(common.tidy(run), "doc_id long, language string, margin double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, profiles: dict[str, bytes], least_margin: float = 0.02, block: int = 2000, text_col: str = "text") -> DataFrame:
@@ -135,4 +135,4 @@ def keep_identified(docs: DataFrame, profiles: dict[str, bytes], least_margin: f
                 text = part.column(part.schema.get_field_index(text_col))
                 yield part.filter(pa.array(judge.judge(text, least_margin)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)

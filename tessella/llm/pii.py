@@ -406,7 +406,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             ["kind", "votes", "features", "n"],
         )
 
-    seen = docs.select(common.column(text_col).cast("string").alias("text")).filter("text is not null").mapInArrow(run, "kind string, votes array<int>, features array<int>, n long")
+    seen = docs.select(common.column(text_col).cast("string").alias("text")).filter("text is not null").mapInArrow(common.tidy(run), "kind string, votes array<int>, features array<int>, n long")
     # at most one row for each kind, votes and features: bounded by their numbers of values
     rows = seen.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")).collect()
     return learn({(r["kind"], tuple(r["votes"]), tuple(r["features"])): r["n"] for r in sorted(rows, key=lambda r: (r["kind"], tuple(r["votes"]), tuple(r["features"])))})
@@ -426,7 +426,7 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds, strict=True))], ["doc_id", "start_char", "end_char", "kind", "chance", "span"])
 
-    return common.ids_and_text(docs, id_col, text_col).filter("text is not null").mapInArrow(run, "doc_id long, start_char int, end_char int, kind string, chance double, span string")
+    return common.ids_and_text(docs, id_col, text_col).filter("text is not null").mapInArrow(common.tidy(run), "doc_id long, start_char int, end_char int, kind string, chance double, span string")
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -458,4 +458,4 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text", length_col: st
                     part = pa.RecordBatch.from_arrays(cols, schema=part.schema)
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)

@@ -181,7 +181,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                     out.append(pc.equal(decoder.decode(ids), text))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "n_ids"] + ["round_trip"] * check)
 
-    return common.ids_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return common.ids_and_text(docs, id_col, text_col).mapInArrow(common.tidy(run), schema)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

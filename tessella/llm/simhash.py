@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 cols = [part.column(0), pa.array(sizes.astype(np.int32)), *(pa.array(sig[:, k].view(np.int64)) for k in range(WORDS))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", *(f"s{k}" for k in range(WORDS))]).filter(keep)
 
-    return common.ids_and_text(docs, id_col, text_col).filter("doc_id is not null and text is not null").mapInArrow(run, _SIGNATURE)
+    return common.ids_and_text(docs, id_col, text_col).filter("doc_id is not null and text is not null").mapInArrow(common.tidy(run), _SIGNATURE)
 
 
 def tile_pairs(pops: np.ndarray, tile: int, radius: int, other: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
@@ -157,6 +157,7 @@ def _cell(radius: int):
         roots, nodes = common.spanning(ids[a], ids[b])
         links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
         some = np.flatnonzero(links)
+        common.trim()
         return pa.table({
             "a": pa.array(np.concatenate([roots, ids[some]]), pa.int64()),
             "b": pa.concat_arrays([pa.array(nodes, pa.int64()), pa.nulls(len(some), pa.int64())]),

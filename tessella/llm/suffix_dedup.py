@@ -207,6 +207,8 @@ def _reduce(parts: int):
             if len(k):
                 group, cols = _by_part(doc[k], at[k], first.astype(np.uint16), parts)
                 out.append(pa.table([pa.array(group, pa.int32()), *cols], names=_FIELDS[1:]))
+            del doc, at, low, high, flag, k, first
+            common.trim()
         return pa.concat_tables(out)
 
     return run
@@ -258,7 +260,7 @@ def repeated_spans(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id",
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     buckets = max(2 * common.partitions(docs.sparkSession), -(-chars // bucket_chars))
     parts = buckets // 2  # the number of tasks follows the corpus where that outgrows the session's setting
-    sent = docs.mapInArrow(_map(threshold, buckets, parts), _PACKED).repartition(parts, "bucket")
+    sent = docs.mapInArrow(common.tidy(_map(threshold, buckets, parts)), _PACKED).repartition(parts, "bucket")
     found = sent.groupBy("bucket").applyInArrow(_reduce(parts), _PACKED.partition(", ")[2])
     return found.repartition(parts, "part").groupBy("part").applyInArrow(_spans(threshold), "doc_id long, start_word int, end_word int, removed boolean")
 
@@ -318,5 +320,5 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id",
                     out = out.filter(pc.invert(pc.fill_null(blank, False)))
                 yield out
 
-    kept = joined.mapInArrow(run, docs.schema).unionByName(docs.filter(common.column(id_col).isNull()))
+    kept = joined.mapInArrow(common.tidy(run), docs.schema).unionByName(docs.filter(common.column(id_col).isNull()))
     return kept if rest is None else kept.unionByName(rest)

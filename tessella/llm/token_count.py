@@ -114,4 +114,4 @@ def count_tokens(docs: DataFrame, ranks: str, chunk_chars: int = 1 << 15, overla
                         counts.append(count_long(text, encoding, sizes, chunk_chars, overlap_chars))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
-    return common.ids_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
+    return common.ids_and_text(docs, id_col, text_col).mapInArrow(common.tidy(run), "doc_id long, n_tokens long")
