@@ -51,6 +51,21 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), count
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps with row pivots: LAPACK's threads can stall in a process that runs a Spark driver."""
+    n = len(a)
+    m = np.concatenate([a, np.eye(n)], axis=1)
+    for k in range(n):
+        p = k + int(np.abs(m[k:, k]).argmax())
+        if p != k:
+            m[[k, p]] = m[[p, k]]
+        m[k] /= m[k, k]
+        way = m[:, k].copy()
+        way[k] = 0
+        m -= way[:, None] * m[k]
+    return m[:, n:]
+
+
 def master(demand: np.ndarray, sizes: np.ndarray, capacity: int, tolerance: float = 1e-7, rounds: int = 20000) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as rows, how often each) of an optimal solution of the linear program."""
     m = len(sizes)
@@ -59,7 +74,7 @@ def master(demand: np.ndarray, sizes: np.ndarray, capacity: int, tolerance: floa
     amount = np.einsum("ij,j->i", inverse, demand)
     for turn in range(rounds):
         if turn % 200 == 199:
-            inverse = np.linalg.inv(patterns.T.astype(float))
+            inverse = inverted(patterns.T.astype(float))
             amount = np.einsum("ij,j->i", inverse, demand)
         duals = inverse.sum(0)
         value, column = knapsack(duals, sizes, capacity)

@@ -27,3 +27,11 @@ def test_pack_places_every_piece_once(spark):
 
 def test_empty_table_has_no_sequences(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).collect() == []
+
+
+def test_inverse():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 4, (40, 40)).astype(float) + 3 * np.eye(40)[rng.permutation(40)]
+    assert np.abs(np.einsum("ij,jk->ik", packing.inverted(a), a) - np.eye(40)).max() < 1e-6
