@@ -247,7 +247,12 @@ def term_weights(tokens: DataFrame) -> DataFrame:
 
 def idf(tokens: DataFrame, n_docs: int) -> DataFrame:
     """(token, df, idf) of (doc_id, token): ln(1 + (N - df + 0.5) / (df + 0.5)) (V9)."""
-    df = tokens.distinct().groupBy("token").agg(F.count("*").cast("long").alias("df"))
+    return _idf(tokens.distinct(), n_docs)
+
+
+def _idf(different: DataFrame, n_docs: int) -> DataFrame:
+    """The idf of tokens that each document has once."""
+    df = different.groupBy("token").agg(F.count("*").cast("long").alias("df"))
     return df.withColumn("idf", F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
@@ -261,7 +266,7 @@ def sparse_topk(query_tokens: DataFrame, doc_tokens: DataFrame, n_docs: int, k:
     doc_tokens = doc_tokens.join(query_tokens.select("token").distinct(), "token", "left_semi").select("doc_id", "token")
     w = term_weights(doc_tokens)
     q = term_weights(query_tokens).select(F.col("doc_id").alias("query_id"), "token", F.col("weight").alias("query_weight"))
-    q = q.join(idf(doc_tokens, n_docs).select("token", "idf"), "token")
+    q = q.join(_idf(w, n_docs).select("token", "idf"), "token")  # both uses of w share its shuffle
     met = w.join(q, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight") * F.col("idf")), 6).alias("score"))
     return _top(met, k)
 
