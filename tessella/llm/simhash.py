@@ -4,15 +4,21 @@ A document's features are its distinct words (a set, so that frequent words don'
 hash votes on 256 bits and the majority gives the fingerprint. Two documents are near copies when their fingerprints
 differ in at most ``radius`` bits, whatever their numbers of words.
 
-Every pair of documents is held to this, without bands or buckets that could miss one: equal fingerprints are put
-together first, then fingerprints are ordered by population count and cut into stripes by quantiles. Each pair of
-stripes whose population counts come within the radius is a cell, a task of its own, that compares tiles of ``TILE``
-fingerprints with numpy's exclusive-or and bit count. A tile pair is skipped when the population counts of its halves
-differ by more than the radius: no pair in it can qualify. Work inside the cells is quadratic in the number of distinct
-fingerprints (the price of exactness), memory and the size of each task aren't.
+Every pair of documents is held to this and none is missed: equal fingerprints are put together first, then
+fingerprints are ordered by population count and cut into stripes by quantiles. Each pair of stripes whose population
+counts come within the radius is a cell. Up to ``INDEX_FROM`` fingerprints a cell is a task that compares tiles of
+``TILE`` fingerprints with numpy's exclusive-or and bit count. A tile pair is skipped when the population counts of its
+halves differ by more than the radius: no pair in it can qualify.
+
+Beyond that, the cells' pairs are found by the pigeonhole principle. A radius of 50 over 256 bits leaves some word of 64
+with at most 12 (in the last 11), of that word some half with at most 6 or 5, and of that half some 16 bits with at most
+3 or 2 that differ (``parts``). For each of the 16 parts fingerprints are sorted by its bits, and only the buckets within
+that distance of each other are compared: by the half, and what is left by all bits. Every pair within the radius has
+such a part, and counts in the first it has. Work is still quadratic in the distinct fingerprints, over a small
+share of the pairs; memory and the size of each task are bounded.
 
 A cell passes on the edges of a spanning forest, not all pairs, so a group of n copies costs n edges; besides it counts
-each fingerprint's links, and as every pair has one cell, the sums are whole. Groups are the connected components.
+each fingerprint's links, and as every pair counts in one task, the sums are whole. Groups are the connected components.
 The population counts of texts lie within some 12 of each other's, so at a radius of 50 hardly any tile is skipped.
 
 Defined results. Documents without words (null, empty or blank texts) are
@@ -34,6 +40,8 @@ from tessella.llm import common
 
 TILE = 1024
 WORDS = 4  # 64-bit words of a fingerprint
+PARTS = 4 * WORDS  # of 16 bits
+INDEX_FROM, INDEX_STRIPE = 1 << 16, 1 << 19  # fingerprints from which cells are searched by parts, and those of a stripe then
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 _STEPS = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in range(WORDS)]
 _SIGNATURE = "doc_id long, n_words int, " + ", ".join(f"s{k} long" for k in range(WORDS))
@@ -99,7 +107,14 @@ def tile_pairs(pops: np.ndarray, tile: int, radius: int, other: np.ndarray | Non
 
 
 def close_pairs(a_sig, b_sig=None, radius: int = 50, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all near copies within one block of fingerprints (i < j) or between two.
+    """Positions of all near copies within one block of fingerprints (i < j) or between two."""
+    found = list(_tiled(a_sig, b_sig, radius, tile))
+    none = [np.empty(0, np.int64)]
+    return np.concatenate([a for a, _ in found] or none), np.concatenate([b for _, b in found] or none)
+
+
+def _tiled(a_sig, b_sig, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of close_pairs(), tile by tile.
 
     A tile compares the first half of the bits, and the second where the first is within the radius.
     """
@@ -115,7 +130,6 @@ def close_pairs(a_sig, b_sig=None, radius: int = 50, tile: int = TILE) -> tuple[
         b_pop = pops(b_sig)
         b_order = np.lexsort((b_pop[:, 1], b_pop[:, 0] // 8))
         b_cols, other = [np.ascontiguousarray(b_sig[b_order, k]) for k in range(WORDS)], b_pop[b_order]
-    left, right = [], []
     x, c, d = (np.empty((tile, tile), t) for t in (np.uint64, np.uint8, np.uint8))
     for i, j in tile_pairs(a_pop[a_order], tile, radius, other):
         p, q = min(tile, len(a_order) - i), min(tile, len(b_order) - j)
@@ -136,10 +150,116 @@ def close_pairs(a_sig, b_sig=None, radius: int = 50, tile: int = TILE) -> tuple[
         ok = dist <= radius
         if same:
             ok &= u < v
-        left.append(a_order[u[ok]])
-        right.append(b_order[v[ok]])
-    none = [np.empty(0, np.int64)]
-    return np.concatenate(left or none), np.concatenate(right or none)
+        yield a_order[u[ok]], b_order[v[ok]]
+
+
+def parts(radius: int) -> list[tuple[int, int, int]]:
+    """(most bits that differ in the word, in the half, in the part) of each of the 16 parts; -1: the part isn't needed.
+
+    Limits plus one add up to those of the whole plus one, so not all parts of it can be beyond theirs.
+    """
+
+    def halves(most: int) -> tuple[int, int]:
+        return -(-(most + 1) // 2) - 1, (most + 1) // 2 - 1
+
+    words = [w for h in halves(radius) for w in halves(h)]
+    return [(w, h, p) for w in words for h in halves(w) for p in halves(h)]
+
+
+def _first_part(diff: np.ndarray, limits: list[tuple[int, int, int]], part: int) -> np.ndarray:
+    """Which differences (4 words each) have no earlier part within its limits."""
+    first = np.ones(len(diff), bool)
+    for w in range(part // 4 + 1):
+        word = np.ascontiguousarray(diff[:, w])
+        near = [np.bitwise_count(word), np.bitwise_count(word.view(np.uint32).reshape(-1, 2)), np.bitwise_count(word.view(np.uint16).reshape(-1, 4))]
+        for k in range(min(4, part - 4 * w)):
+            most = limits[4 * w + k]
+            first &= ~((near[0] <= most[0]) & (near[1][:, k // 2] <= most[1]) & (near[2][:, k] <= most[2]))
+    return first
+
+
+def _by_parts(a_sig: np.ndarray, b_sig: np.ndarray | None, radius: int, which: range, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of close_pairs() whose first part within its limits is one of those, some at a time."""
+    limits, same = parts(radius), b_sig is None
+    x, c = np.empty(most, np.uint32), np.empty(most, np.uint8)
+    weight = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
+
+    def column(sig: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order by the part's bits, where each value begins, the halves in that order)."""
+        value = np.ascontiguousarray(sig.view(np.uint16).reshape(len(sig), PARTS)[:, part])
+        order = np.argsort(value, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 16))])
+        return order, begin, sig.view(np.uint32).reshape(len(sig), PARTS // 2)[order, part // 2]
+
+    u: list[np.ndarray] = []
+    v: list[np.ndarray] = []
+
+    def settle(part: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.concatenate(u), np.concatenate(v)
+        u.clear()
+        v.clear()
+        if same:
+            i, j = i[i < j], j[i < j]
+        i, j = a_order[i], b_order[j]
+        diff = a_sig[i] ^ (a_sig if same else b_sig)[j]
+        bits = np.bitwise_count(diff)
+        ok = np.flatnonzero((bits[:, part // 4] <= limits[part][0]) & (bits.sum(1) <= radius))
+        ok = ok[_first_part(diff[ok], limits, part)]
+        i, j = i[ok], j[ok]
+        return (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
+
+    def keep(row: np.ndarray, at: np.ndarray) -> None:
+        u.append(row)
+        v.append(at)
+
+    for part in which:
+        if limits[part][2] < 0:
+            continue
+        masks = np.flatnonzero(weight <= limits[part][2])
+        a_order, a_begin, a_half = column(a_sig, part)
+        b_order, b_begin, b_half = (a_order, a_begin, a_half) if same else column(b_sig, part)
+        b_size, filled = np.diff(b_begin), np.flatnonzero(np.diff(a_begin))
+        for k in range(0, len(filled), 64):
+            bucket = filled[k : k + 64]
+            near = bucket[:, None] ^ masks
+            begin, size = b_begin[near], b_size[near]
+            if same:
+                size[near < bucket[:, None]] = 0
+            lo, hi, length = a_begin[bucket], a_begin[bucket + 1], size.sum(1)
+            work = np.cumsum((hi - lo) * length)
+            s = 0
+            while s < len(bucket):  # buckets that make at most so many comparisons, one at least
+                e = max(s + 1, int(np.searchsorted(work, (work[s - 1] if s else 0) + most, "right")))
+                n = size[s:e].ravel()
+                ends = np.cumsum(n)
+                at = np.repeat(begin[s:e].ravel() - ends + n, n) + np.arange(ends[-1])
+                other = b_half[at]
+                off = np.cumsum(length[s:e]) - length[s:e]
+                if e - s > 8:  # many small ones at once
+                    row = np.arange(lo[s], hi[e - 1])  # filled buckets follow each other
+                    per = np.repeat(length[s:e], hi[s:e] - lo[s:e])
+                    last = np.cumsum(per)
+                    to = np.repeat(np.repeat(off, hi[s:e] - lo[s:e]) - last + per, per) + np.arange(last[-1])
+                    hit = np.flatnonzero(np.bitwise_count(np.repeat(a_half[row], per) ^ other[to]) <= limits[part][1])
+                    keep(row[np.searchsorted(last, hit, "right")], at[to[hit]])
+                else:
+                    for g, f, t, w in zip(lo[s:e].tolist(), hi[s:e].tolist(), off.tolist(), length[s:e].tolist(), strict=True):
+                        for m in range(t, t + w, most):
+                            wide = min(most, t + w - m)
+                            for r in range(g, f, max(1, most // wide)):
+                                high = min(max(1, most // wide), f - r)
+                                np.bitwise_xor(a_half[r : r + high, None], other[None, m : m + wide], out=x[: high * wide].reshape(high, wide))
+                                np.bitwise_count(x[: high * wide], out=c[: high * wide])
+                                hit = np.flatnonzero(c[: high * wide] <= limits[part][1])
+                                if len(hit):
+                                    keep(hit // wide + r, at[m + hit % wide])
+                                    if sum(map(len, u)) > 1 << 19:
+                                        yield settle(part)
+                s = e
+            if sum(map(len, u)) > 1 << 17:
+                yield settle(part)
+        if u:
+            yield settle(part)
 
 
 def _cell(radius: int):
@@ -150,12 +270,27 @@ def _cell(radius: int):
         sig = np.stack([table[f"s{k}"].to_numpy().view(np.uint64) for k in range(WORDS)], 1) if len(ids) else np.empty((0, WORDS), np.uint64)
         side = table["side"].to_numpy()
         own, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if table["twofold"][0].as_py():
-            a, b = (own[x] if k == 0 else far[x] for k, x in enumerate(close_pairs(sig[own], sig[far], radius))) if len(own) and len(far) else (own[:0], far[:0])
-        else:
-            a, b = close_pairs(sig, radius=radius)
-        roots, nodes = common.spanning(ids[a], ids[b])
-        links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        twofold, first, last = (table[k][0].as_py() for k in ("twofold", "first", "last"))
+        del table
+        blocks = (sig[own], sig[far]) if twofold else (sig, None)
+        found = _by_parts(*blocks, radius, range(first, last)) if last else _tiled(*blocks, radius)
+        links = np.zeros(len(ids), np.int64)
+        edges, held = [(ids[:0], ids[:0])], 0
+
+        def forest() -> tuple[np.ndarray, np.ndarray]:
+            return common.spanning(np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges]))
+
+        for a, b in found if not twofold or (len(own) and len(far)) else ():
+            if twofold:
+                a, b = own[a], far[b]
+            for x in (a, b):
+                node, times = np.unique(x, return_counts=True)
+                links[node] += times
+            edges.append((ids[a], ids[b]))
+            held += len(a)
+            if held > 1 << 21:  # many pairs of few fingerprints: their forest is as good
+                edges, held = [forest()], 0
+        roots, nodes = forest()
         some = np.flatnonzero(links)
         common.trim()
         return pa.table({
@@ -172,21 +307,25 @@ def near_edges(sig: DataFrame, radius: int, stripe_rows: int) -> DataFrame:
     pop = sum((F.bit_count(f"s{k}") for k in range(1, WORDS)), F.bit_count("s0"))
     key = sig.withColumn("key", pop.cast("long") * (1 << 10) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 10))).withColumn("pop", pop)
     total = key.count()
-    stripes = max(1, min(2048, -(-total // stripe_rows)))
+    indexed = total >= INDEX_FROM
+    stripes = max(1, min(2048, -(-total // (max(stripe_rows, INDEX_STRIPE) if indexed else stripe_rows))))
     cuts = sorted({int(x) for x in key.approxQuantile("key", [i / stripes for i in range(1, stripes)], 0.25 / stripes)}) if stripes > 1 else []
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     key = key.withColumn("stripe", F.size(F.filter(bounds, lambda c: c < F.col("key"))) if cuts else F.lit(0))
     reach = {r["stripe"]: (r["lo"], r["hi"]) for r in key.groupBy("stripe").agg(F.min("pop").alias("lo"), F.max("pop").alias("hi")).collect()}
     pairs = [(i, j) for i, j in itertools.combinations_with_replacement(sorted(reach), 2) if reach[j][0] - reach[i][1] <= radius]
-    cells: dict[int, list[tuple[int, int, bool]]] = {}
-    for c, (i, j) in enumerate(pairs):
-        cells.setdefault(i, []).append((c, 0, i != j))
+    # parts of a cell that a task of its own searches: one where cells are few, so that there are tasks enough, all where rows would be copied too often
+    step = PARTS if stripes > 8 else 4 if stripes > 2 else 1
+    tasks = [(p, p + step) for p in range(0, PARTS, step)] if indexed else [(0, 0)]
+    cells = []
+    for c, ((i, j), (first, last)) in enumerate(itertools.product(pairs, tasks)):
+        cells.append((i, c, 0, i != j, first, last))
         if i != j:
-            cells.setdefault(j, []).append((c, 1, True))
+            cells.append((j, c, 1, True, first, last))
     spark = sig.sparkSession
-    plan = spark.createDataFrame([(s, c, side, two) for s, cs in cells.items() for c, side, two in cs] or [(-1, 0, 0, False)], "stripe int, cell int, side int, twofold boolean")
+    plan = spark.createDataFrame(cells or [(-1, 0, 0, False, 0, 0)], "stripe int, cell int, side int, twofold boolean, first int, last int")
     # the plan has one row for each stripe and cell: at most 2048 x 2048, and a few hundred for most inputs
-    placed = key.drop("key", "pop").join(F.broadcast(plan) if len(pairs) <= 100_000 else plan, "stripe")
+    placed = key.drop("key", "pop").join(F.broadcast(plan) if len(cells) <= 200_000 else plan, "stripe")
     return placed.groupBy("cell").applyInArrow(_cell(radius), "a long, b long, n long")
 
 

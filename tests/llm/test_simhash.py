@@ -65,6 +65,51 @@ def test_tiles_hold_every_close_pair():
     assert set(zip(a.tolist(), (b + 150).tolist(), strict=True)) == {(i, j) for i, j in zip(*np.nonzero(close), strict=True) if i < 150 <= j}
 
 
+def test_limits_of_the_parts_leave_no_pair_out():
+    for radius in (0, 1, 7, 50, 51, 100):
+        limits = simhash.parts(radius)
+        assert sum(p + 1 for _, _, p in limits) == radius + 1
+        for k in range(0, 16, 4):
+            word = limits[k][0]
+            assert {w for w, _, _ in limits[k : k + 4]} == {word} and limits[k][1] + limits[k + 2][1] + 2 == word + 1
+            assert all(limits[k + h][2] + limits[k + h + 1][2] + 2 == limits[k + h][1] + 1 for h in (0, 2))
+
+
+def test_parts_hold_every_close_pair_once_at_a_share_of_the_comparisons(monkeypatch):
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 1 << 63, (6000, 4), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (6000, 4), dtype=np.uint64)
+    near = sig[rng.integers(0, 3000, 3000)]
+    flips = np.argsort(rng.random((3000, 256)), axis=1).argsort(axis=1) < rng.integers(1, 60, 3000)[:, None]  # some beyond the radius
+    sig[3000:] = near ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    sig[:400, 0] = sig[0, 0]  # a bucket with many
+    compared, count = [0], np.bitwise_count
+
+    def counted(x, **options):
+        compared[0] += x.size * (x.dtype == np.uint32)
+        return count(x, **options)
+
+    for blocks in ((sig, None), (sig[:3500], sig[3500:])):
+        a, b = simhash.close_pairs(*blocks)
+        want = {tuple(sorted(p)) if blocks[1] is None else p for p in zip(a.tolist(), b.tolist(), strict=True)}
+        compared[0] = 0
+        with monkeypatch.context() as m:
+            m.setattr(np, "bitwise_count", counted)
+            got = [p for first in range(0, 16, 4) for a, b in simhash._by_parts(*blocks, 50, range(first, first + 4)) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(want) > 1000 and len(got) == len(set(got)) and set(got) == want
+        pairs = 6000 * 5999 // 2 if blocks[1] is None else 3500 * 2500
+        assert 0 < compared[0] < pairs / 5
+
+
+def test_groups_and_links_by_parts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "INDEX_FROM", 1)
+    rows = _documents()
+    want, _ = _brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for stripe in (1 << 19, 40):
+        monkeypatch.setattr(simhash, "INDEX_STRIPE", stripe)
+        assert {r.doc_id: (r.group_id, r.n_links) for r in simhash.near_copies(docs, stripe_rows=1).collect()} == want
+
+
 def test_dedupe_keeps_one_of_each_group_and_further_texts_of_an_id(spark):
     rows = _documents() + [(7777, None), (7777, "x y z"), (7777, "x y z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as __gone", "2 as __rid", "3 as count", "4 as cell", "5 as s0")
