@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import __spark_entry__
+import corpus_pipeline
 from tessella.llm import catalog, common, langid, pii, simhash, token_count
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -91,3 +92,12 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for r in rows:
         room[r.bin_id] = room.get(r.bin_id, 0) + r.length
     assert max(room.values()) <= 2048
+
+
+def test_near_dedup_by_parts_keeps_the_same_documents(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect())
+    tiled = kept()
+    monkeypatch.setattr(simhash, "INDEX_FROM", 1)
+    monkeypatch.setattr(simhash, "INDEX_STRIPE", 90)
+    assert kept() == tiled and 0 < len(tiled) < docs.count()
