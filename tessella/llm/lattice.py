@@ -1,4 +1,10 @@
-"""Embedding near-dedup by E8 lattice hashing.
+"""Embedding near-dedup: every link among different vectors, or those that E8 lattice hashing finds.
+
+near_copies() holds all pairs of different vectors to the threshold: vectors are spread over stripes, each pair of stripes
+is a cell, a task of its own, that multiplies tiles in float32 and takes the cosine of what comes within its rounding of
+the threshold in float64. A cell passes on a spanning forest of its links and how many each vector has. No link is
+missed, and the work grows as the square of the different vectors. With ``exact=False`` candidates come from the
+lattice instead, which does less work on large tables and misses some links near the threshold:
 
 Each of ``tables`` random orthonormal projections takes a vector to ``8 * BLOCKS`` dimensions; each 8 of them, divided by
 ``scale``, are decoded to the nearest point of the E8 lattice, and the points together are the vector's cell. A vector
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 from tessella.llm import common, vectors
 
 BLOCKS, SIGNS, CROWD, ROUNDS, TILE = 3, 20, 256, 3, 1024
+STRIPE = 1 << 17  # vectors of a stripe at most
 
 
 def _minimal() -> np.ndarray:
@@ -166,6 +173,64 @@ def edges(reps: DataFrame, threshold: float, tables: int, probes: int, scale: fl
     return out
 
 
+def _close(a: np.ndarray, b: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of unit vectors (float32) within the threshold, in one block (i < j) or between two."""
+    same, b = b is None, a if b is None else b
+    sieve = np.float32(threshold - 1.2e-7 * (a.shape[1] + 8))  # a sum of float32 products is off by less
+    for i in range(0, len(a), TILE):
+        for j in range(i if same else 0, len(b), TILE):
+            near = a[i : i + TILE] @ b[j : j + TILE].T >= sieve
+            if same and i == j:
+                near = np.triu(near, 1)
+            hit = np.flatnonzero(near)
+            for k in range(0, len(hit), 1 << 16):
+                u, v = np.divmod(hit[k : k + (1 << 16)], near.shape[1])
+                u, v = u + i, v + j
+                ok = np.einsum("ij,ij->i", a[u].astype(np.float64), b[v].astype(np.float64)) >= threshold
+                yield u[ok], v[ok]
+
+
+def _cell(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Links (a, b) that hold the cell's components together, and (a, null, n): so many links of a in this cell."""
+        ids, side, two = table["id"].to_numpy(), table["side"].to_numpy(), table["two"][0].as_py()
+        v = vectors.from_binary(table["unit"])
+        own, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        links, held, forest = np.zeros(len(ids), np.int64), 0, [(ids[:0], ids[:0])]
+        join = lambda: common.spanning(*(np.concatenate(x) for x in zip(*forest, strict=True)))
+        for x, y in _close(v[own], v[far] if two else None, threshold):
+            x, y = own[x], (far if two else own)[y]
+            for z in (x, y):
+                node, times = np.unique(z, return_counts=True)
+                links[node] += times
+            forest.append((ids[x], ids[y]))
+            held += len(x)
+            if held > 1 << 21:  # many links of few vectors: their forest is as good
+                forest, held = [join()], 0
+        root, node = join()
+        some = np.flatnonzero(links)
+        common.trim()
+        return pa.table({
+            "a": pa.array(np.concatenate([root, ids[some]]), pa.int64()),
+            "b": pa.concat_arrays([pa.array(node, pa.int64()), pa.nulls(len(some), pa.int64())]),
+            "n": pa.array(np.concatenate([np.zeros(len(root), np.int64), links[some]]), pa.int64()),
+        })
+
+    return run
+
+
+def all_links(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n) of different vectors (id, unit): edges whose components are those of all links, and counts of links."""
+    total = reps.count()
+    stripes = max(1, -(-total // max(2048, min(STRIPE, total // 6))))
+    meets = F.transform(
+        F.sequence(F.lit(0), F.lit(stripes - 1)),
+        lambda o: F.struct(F.least("stripe", o).alias("i"), F.greatest("stripe", o).alias("j"), F.when(F.col("stripe") > o, 1).otherwise(0).alias("side"), (F.col("stripe") != o).alias("two")),
+    )
+    placed = reps.select("id", "unit", F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int").alias("stripe")).withColumn("m", F.explode(meets))
+    return placed.select("id", "unit", "m.*").groupBy("i", "j").applyInArrow(_cell(threshold), "a long, b long, n long")
+
+
 def _count(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         ids, side = table["id"].to_numpy(), table["side"].to_numpy()
@@ -195,19 +260,24 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_copies(
-    rows: DataFrame, threshold: float = 0.95, tables: int = 12, probes: int = 3, scale: float = 0.34, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding"
+    rows: DataFrame, threshold: float = 0.95, tables: int = 12, probes: int = 3, scale: float = 0.34, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = True
 ) -> DataFrame:
     """(vec_id, group_id, n_copies, n_links) of every row in a group of near copies.
 
     group_id is the least id of the group, n_copies how many rows have the same vector, n_links how many other
-    different vectors have a cosine of at least threshold with it.
+    different vectors have a cosine of at least threshold with it. tables, probes, scale and seed are the lattice's, for exact=False.
     """
     units = common.materialise(vectors.clean(rows, id_col, vec_col).mapInArrow(vectors.units, "vec_id long, unit binary"), "units")
     reps = common.materialise(units.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("n_copies")), "vectors")
-    links = edges(reps, threshold, tables, probes, scale, seed)
-    found = common.components(links).select(F.col("node").alias("id"), F.col("root").alias("group_id"))
-    members = common.materialise(reps.join(found, "id"), "members")
-    counted = members.select("id", "group_id", "n_copies").join(link_counts(members.select("id", "unit", "group_id"), threshold), "id", "left")
+    if exact:
+        found = common.materialise(all_links(reps, threshold), "links")
+        links = found.filter("b is not null").select("a", "b")
+    else:
+        links = edges(reps, threshold, tables, probes, scale, seed)
+    groups = common.components(links).select(F.col("node").alias("id"), F.col("root").alias("group_id"))
+    members = common.materialise(reps.join(groups, "id"), "members")
+    counts = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links")) if exact else link_counts(members.select("id", "unit", "group_id"), threshold)
+    counted = members.select("id", "group_id", "n_copies").join(counts, "id", "left")
     alone = reps.filter("n_copies > 1").join(members.select("id"), "id", "left_anti").select("id", F.col("id").alias("group_id"), "n_copies", F.lit(0).cast("long").alias("n_links"))
     classes = counted.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).unionByName(alone)
     named = reps.select("id", "unit").join(classes, "id").drop("id")

@@ -93,6 +93,26 @@ def test_recall_at_the_threshold():
     assert met.mean() > 0.995 and signs.mean() > 0.999
 
 
+def test_links_that_share_no_cell_are_found(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "STRIPE", 2048)
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    w = rng.standard_normal(a.shape)
+    w -= (w * a).sum(1)[:, None] * a
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * w / np.linalg.norm(w, axis=1)[:, None]
+    v = np.concatenate([a, b]).astype(np.float32)
+    want = {(i, i % 1500, 1, 1) for i in range(3000)}
+    rows = table(spark, np.arange(3000), v)
+    assert found(lattice.near_copies(rows, tables=1, probes=0)) == want  # more than one stripe
+    assert 0 < len(found(lattice.near_copies(rows, tables=1, probes=0, exact=False))) < 3000
+
+
+def test_lattice_against_all_pairs(spark):
+    ids, v = corpus()
+    assert found(lattice.near_copies(table(spark, ids, v), exact=False)) == brute(ids, v)
+
+
 def test_defined_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 2.0, 3.0]), (8, [0.0, 1.0]), (8, [0.0, -1.0]), (9, [2.0, 0.01])]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit("x")).withColumn("unit", F.lit(1))
