@@ -13,8 +13,8 @@ halves differ by more than the radius: no pair in it can qualify.
 Beyond that, the cells' pairs are found by the pigeonhole principle. A radius of 50 over 256 bits leaves some word of 64
 with at most 12 (in the last 11), of that word some half with at most 6 or 5, and of that half some 16 bits with at most
 3 or 2 that differ (``parts``). For each of the 16 parts fingerprints are sorted by its bits, and only the buckets within
-that distance of each other are compared: by the half, and what is left by all bits. Every pair within the radius has
-such a part, and counts in the first it has. Work is still quadratic in the distinct fingerprints, over a small
+that distance of each other are compared: a bucket's neighbours are gathered once and held to all its rows by the word,
+and what is left by the half and all bits. Every pair within the radius has such a part, and counts in the first it has. Work is still quadratic in the distinct fingerprints, over a small
 share of the pairs; memory and the size of each task are bounded.
 
 A cell passes on the edges of a spanning forest, not all pairs, so a group of n copies costs n edges; besides it counts
@@ -41,7 +41,7 @@ from tessella.llm import common
 TILE = 1024
 WORDS = 4  # 64-bit words of a fingerprint
 PARTS = 4 * WORDS  # of 16 bits
-INDEX_FROM, INDEX_STRIPE = 1 << 16, 1 << 19  # fingerprints from which cells are searched by parts, and those of a stripe then
+INDEX_FROM, INDEX_STRIPE = 1 << 16, 3 << 18  # fingerprints from which cells are searched by parts, and those of a stripe then
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 _STEPS = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in range(WORDS)]
 _SIGNATURE = "doc_id long, n_words int, " + ", ".join(f"s{k} long" for k in range(WORDS))
@@ -179,20 +179,24 @@ def _first_part(diff: np.ndarray, limits: list[tuple[int, int, int]], part: int)
 
 
 def _by_parts(a_sig: np.ndarray, b_sig: np.ndarray | None, radius: int, which: range, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of close_pairs() whose first part within its limits is one of those, some at a time."""
+    """The pairs of close_pairs() whose first part within its limits is one of those, some at a time.
+
+    A bucket's neighbours are gathered once and compared with all its rows; only the rows that pass by word are looked at singly.
+    """
     limits, same = parts(radius), b_sig is None
-    x, c = np.empty(most, np.uint32), np.empty(most, np.uint8)
+    x, c, near_by = np.empty(most, np.uint64), np.empty(most, np.uint8), np.empty(most, bool)
     weight = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
 
     def column(sig: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order by the part's bits, where each value begins, the halves in that order)."""
+        """(order by the part's bits, where each value begins, the words in that order)."""
         value = np.ascontiguousarray(sig.view(np.uint16).reshape(len(sig), PARTS)[:, part])
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value, kind="stable").astype(np.int32)
         begin = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 16))])
-        return order, begin, sig.view(np.uint32).reshape(len(sig), PARTS // 2)[order, part // 2]
+        return order, begin, sig[order, part // 4]
 
     u: list[np.ndarray] = []
     v: list[np.ndarray] = []
+    held = 0
 
     def settle(part: int) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.concatenate(u), np.concatenate(v)
@@ -202,22 +206,18 @@ def _by_parts(a_sig: np.ndarray, b_sig: np.ndarray | None, radius: int, which: r
             i, j = i[i < j], j[i < j]
         i, j = a_order[i], b_order[j]
         diff = a_sig[i] ^ (a_sig if same else b_sig)[j]
-        bits = np.bitwise_count(diff)
-        ok = np.flatnonzero((bits[:, part // 4] <= limits[part][0]) & (bits.sum(1) <= radius))
+        half = np.bitwise_count(diff.view(np.uint32).reshape(-1, PARTS // 2)[:, part // 2])
+        ok = np.flatnonzero((np.bitwise_count(diff).sum(1) <= radius) & (half <= limits[part][1]))
         ok = ok[_first_part(diff[ok], limits, part)]
-        i, j = i[ok], j[ok]
+        i, j = i[ok].astype(np.int64), j[ok].astype(np.int64)
         return (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
 
-    def keep(row: np.ndarray, at: np.ndarray) -> None:
-        u.append(row)
-        v.append(at)
-
     for part in which:
         if limits[part][2] < 0:
             continue
         masks = np.flatnonzero(weight <= limits[part][2])
-        a_order, a_begin, a_half = column(a_sig, part)
-        b_order, b_begin, b_half = (a_order, a_begin, a_half) if same else column(b_sig, part)
+        a_order, a_begin, a_word = column(a_sig, part)
+        b_order, b_begin, b_word = (a_order, a_begin, a_word) if same else column(b_sig, part)
         b_size, filled = np.diff(b_begin), np.flatnonzero(np.diff(a_begin))
         for k in range(0, len(filled), 64):
             bucket = filled[k : k + 64]
@@ -232,72 +232,104 @@ def _by_parts(a_sig: np.ndarray, b_sig: np.ndarray | None, radius: int, which: r
                 e = max(s + 1, int(np.searchsorted(work, (work[s - 1] if s else 0) + most, "right")))
                 n = size[s:e].ravel()
                 ends = np.cumsum(n)
-                at = np.repeat(begin[s:e].ravel() - ends + n, n) + np.arange(ends[-1])
-                other = b_half[at]
+                at = np.repeat((begin[s:e].ravel() - ends + n).astype(np.int32), n)
+                at += np.arange(ends[-1], dtype=np.int32)
+                other = b_word[at]
                 off = np.cumsum(length[s:e]) - length[s:e]
-                if e - s > 8:  # many small ones at once
-                    row = np.arange(lo[s], hi[e - 1])  # filled buckets follow each other
-                    per = np.repeat(length[s:e], hi[s:e] - lo[s:e])
-                    last = np.cumsum(per)
-                    to = np.repeat(np.repeat(off, hi[s:e] - lo[s:e]) - last + per, per) + np.arange(last[-1])
-                    hit = np.flatnonzero(np.bitwise_count(np.repeat(a_half[row], per) ^ other[to]) <= limits[part][1])
-                    keep(row[np.searchsorted(last, hit, "right")], at[to[hit]])
-                else:
-                    for g, f, t, w in zip(lo[s:e].tolist(), hi[s:e].tolist(), off.tolist(), length[s:e].tolist(), strict=True):
-                        for m in range(t, t + w, most):
-                            wide = min(most, t + w - m)
-                            for r in range(g, f, max(1, most // wide)):
-                                high = min(max(1, most // wide), f - r)
-                                np.bitwise_xor(a_half[r : r + high, None], other[None, m : m + wide], out=x[: high * wide].reshape(high, wide))
-                                np.bitwise_count(x[: high * wide], out=c[: high * wide])
-                                hit = np.flatnonzero(c[: high * wide] <= limits[part][1])
-                                if len(hit):
-                                    keep(hit // wide + r, at[m + hit % wide])
-                                    if sum(map(len, u)) > 1 << 19:
-                                        yield settle(part)
+                for blocks in _blocks(lo[s:e], hi[s:e], off, length[s:e], most):
+                    full = 0
+                    for g, f, t, w in blocks:
+                        to = full + (f - g) * w
+                        np.bitwise_xor(a_word[g:f, None], other[t : t + w], out=x[full:to].reshape(f - g, w))
+                        full = to
+                    np.bitwise_count(x[:full], out=c[:full])
+                    hit = np.flatnonzero(np.less_equal(c[:full], limits[part][0], out=near_by[:full]))
+                    if len(hit):
+                        first, last, left, wide = np.array(blocks).T
+                        ends = np.cumsum((last - first) * wide)
+                        of = np.searchsorted(ends, hit, "right")
+                        row, col = np.divmod(hit - (ends - (last - first) * wide)[of], wide[of])
+                        u.append(row + first[of])
+                        v.append(at[col + left[of]])
+                        held += len(hit)
+                        if held > 1 << 18:
+                            held = 0
+                            yield settle(part)
                 s = e
-            if sum(map(len, u)) > 1 << 17:
-                yield settle(part)
         if u:
+            held = 0
             yield settle(part)
 
 
+def _blocks(lo: np.ndarray, hi: np.ndarray, off: np.ndarray, length: np.ndarray, most: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """(first row, last row + 1, first neighbour, neighbours) that cover each bucket's rows and neighbours, in lists of at most so many comparisons."""
+    quads = [q for q in zip(lo.tolist(), hi.tolist(), off.tolist(), length.tolist(), strict=True) if q[3]]
+    if len(quads) != 1 or (quads[0][1] - quads[0][0]) * quads[0][3] <= most:
+        if quads:
+            yield quads
+        return
+    g, f, t, w = quads[0]
+    for m in range(t, t + w, most):
+        wide = min(most, t + w - m)
+        for r in range(g, f, max(1, most // wide)):
+            yield [(r, min(r + max(1, most // wide), f), m, wide)]
+
+
 def _cell(radius: int):
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Edges (a, b), and (a, null, n): so many links of a in this cell."""
-        table = table.combine_chunks()
-        ids = table["doc_id"].to_numpy()
-        sig = np.stack([table[f"s{k}"].to_numpy().view(np.uint64) for k in range(WORDS)], 1) if len(ids) else np.empty((0, WORDS), np.uint64)
-        side = table["side"].to_numpy()
-        own, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        twofold, first, last = (table[k][0].as_py() for k in ("twofold", "first", "last"))
-        del table
-        blocks = (sig[own], sig[far]) if twofold else (sig, None)
-        found = _by_parts(*blocks, radius, range(first, last)) if last else _tiled(*blocks, radius)
-        links = np.zeros(len(ids), np.int64)
-        edges, held = [(ids[:0], ids[:0])], 0
+        of, rows, first, last = ([], []), ([], []), 0, 0
+        for batch in batches:  # side: 0 and 1 of two blocks, 2 of one alone
+            side = batch.column("side").to_numpy()
+            first, last = (batch.column(k)[0].as_py() for k in ("first", "last")) if len(side) else (first, last)
+            for k in (0, 1):
+                some = np.flatnonzero((side == 1) == k)
+                if len(some):
+                    of[k].append(batch.column("doc_id").to_numpy()[some])
+                    rows[k].append(np.stack([batch.column(f"s{w}").to_numpy()[some].view(np.uint64) for w in range(WORDS)], 1))
+        alone = not of[1]
+        if alone and of[0] and side[0] != 2:  # the other block is empty
+            of[0].clear()
+            rows[0].clear()
+        ids = np.concatenate(of[0] + of[1] or [np.empty(0, np.int64)])
+        blocks = []
+        for k in (0, 1):
+            blocks.append(np.concatenate(rows[k]) if rows[k] else np.empty((0, WORDS), np.uint64))
+            rows[k].clear()
+        of[0].clear()
+        of[1].clear()
+        common.trim()
+        own = len(blocks[0])
+        if alone:
+            blocks[1] = None
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids), dtype=np.int32)
+        edges, held = [(label[:0], label[:0])], 0
 
         def forest() -> tuple[np.ndarray, np.ndarray]:
             return common.spanning(np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges]))
 
-        for a, b in found if not twofold or (len(own) and len(far)) else ():
-            if twofold:
-                a, b = own[a], far[b]
+        for a, b in (_by_parts(*blocks, radius, range(first, last)) if last else _tiled(*blocks, radius)) if own else ():
+            if not alone:
+                b = b + own
             for x in (a, b):
                 node, times = np.unique(x, return_counts=True)
                 links[node] += times
-            edges.append((ids[a], ids[b]))
-            held += len(a)
-            if held > 1 << 21:  # many pairs of few fingerprints: their forest is as good
-                edges, held = [forest()], 0
+            apart = label[a] != label[b]
+            edges.append((a[apart], b[apart]))
+            held += len(edges[-1][0])
+            if held > 1 << 20:  # many pairs of few fingerprints: their forest is as good
+                roots, nodes = forest()
+                label[nodes] = roots
+                edges, held = [(roots, nodes)], 0
         roots, nodes = forest()
         some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([ids[roots], ids[some]]), pa.int64()),
+            pa.concat_arrays([pa.array(ids[nodes], pa.int64()), pa.nulls(len(some), pa.int64())]),
+            pa.array(np.concatenate([np.zeros(len(roots), np.int64), links[some]]), pa.int64()),
+        ], ["a", "b", "n"])
+        del ids, blocks, links, label, edges
         common.trim()
-        return pa.table({
-            "a": pa.array(np.concatenate([roots, ids[some]]), pa.int64()),
-            "b": pa.concat_arrays([pa.array(nodes, pa.int64()), pa.nulls(len(some), pa.int64())]),
-            "n": pa.array(np.concatenate([np.zeros(len(roots), np.int64), links[some]]), pa.int64()),
-        })
 
     return compare
 
@@ -319,13 +351,13 @@ def near_edges(sig: DataFrame, radius: int, stripe_rows: int) -> DataFrame:
     tasks = [(p, p + step) for p in range(0, PARTS, step)] if indexed else [(0, 0)]
     cells = []
     for c, ((i, j), (first, last)) in enumerate(itertools.product(pairs, tasks)):
-        cells.append((i, c, 0, i != j, first, last))
+        cells.append((i, c, 0 if i != j else 2, first, last))
         if i != j:
-            cells.append((j, c, 1, True, first, last))
+            cells.append((j, c, 1, first, last))
     spark = sig.sparkSession
-    plan = spark.createDataFrame(cells or [(-1, 0, 0, False, 0, 0)], "stripe int, cell int, side int, twofold boolean, first int, last int")
+    plan = spark.createDataFrame(cells or [(-1, 0, 0, 0, 0)], "stripe int, cell int, side int, first int, last int")
     # the plan has one row for each stripe and cell: at most 2048 x 2048, and a few hundred for most inputs
-    placed = key.drop("key", "pop").join(F.broadcast(plan) if len(cells) <= 200_000 else plan, "stripe")
+    placed = key.drop("key", "pop").join(F.broadcast(plan) if len(cells) <= 200_000 else plan, "stripe").drop("stripe")
     return placed.groupBy("cell").applyInArrow(_cell(radius), "a long, b long, n long")
 
 

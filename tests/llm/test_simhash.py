@@ -129,3 +129,29 @@ def test_very_many_short_and_one_very_long_text():
     assert sum(p.num_rows for p in parts) == 70001 and max(p.num_rows for p in parts) <= 1 << 16
     sizes, _ = simhash.fingerprints(*common.as_bytes(texts))
     assert (sizes == 1).all()
+
+
+def test_parts_gather_neighbours_once_for_a_bucket_not_once_a_comparison(monkeypatch):
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 1 << 63, (40000, 4), dtype=np.uint64)
+    sig[:, 0] &= np.uint64(0x3F3F3F3F3F3F3F3F)  # fuller buckets, as in a large table
+    sig[20000:] = sig[:20000]
+    sig[20000:, 2] ^= rng.integers(0, 1 << 50, 20000, dtype=np.uint64)
+    a, b = simhash.close_pairs(sig)
+    want = {(i, j) for i, j in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)}
+    made, compared, repeat, count = [0], [0], np.repeat, np.bitwise_count
+
+    def repeated(*args, **options):
+        out = repeat(*args, **options)
+        made[0] += len(out)
+        return out
+
+    def counted(x, *args, **options):
+        compared[0] += x.size
+        return count(x, *args, **options)
+
+    monkeypatch.setattr(np, "repeat", repeated)
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    got = [p for a, b in simhash._by_parts(sig, None, 50, range(4)) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(want) > 15000 and len(got) == len(set(got)) and set(got) <= want and len(got) > 0.9 * len(want)
+    assert made[0] < compared[0] / 4 < 40000 * 39999 / 40
