@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import batches as parts
 from tessella.functions import vector
 
 SMALL_BYTES = 32 << 20
@@ -271,6 +273,103 @@ def sparse_topk(query_tokens: DataFrame, doc_tokens: DataFrame, n_docs: int, k:
     return _top(met, k)
 
 
+#: Stands for a null id among numbers.
+_NO_ID = -(1 << 63)
+
+
+def one_text_per_id(docs: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """(doc_id, text) with the texts of an id that is repeated joined by line feeds. Only the ids are counted; where few are repeated only their texts move."""
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id"))
+    n = repeated.count()
+    if not n:
+        return docs
+    joined = lambda df: df.groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    if n > few:
+        return joined(docs)
+    ids, same = F.broadcast(repeated), F.col("doc_id").eqNullSafe(F.col("__id"))
+    return docs.join(ids, same, "left_anti").unionByName(joined(docs.join(ids, same, "left_semi")))
+
+
+def sparse_search(queries: DataFrame, docs: DataFrame, k: int, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """sparse_topk over (query_id, text) and (doc_id, text), for a set of queries that the tasks can hold.
+
+    The documents are read once for the frequencies of the queries' tokens and once for the scores: a task multiplies the counts of
+    some documents with the weights of all queries and passes on its k best a query, so no pair of a query and a document is written and no
+    token gathers its documents in one task. Queries whose weights outgrow small_bytes are taken in several passes.
+    """
+    spark = docs.sparkSession
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).toArrow()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    weight: dict[int | None, dict[bytes, int]] = {}
+    for q, t in zip(asked["query_id"].to_pylist(), asked["text"].to_pylist(), strict=True):
+        own = weight.setdefault(q, {})
+        for x in parts.tokens(t or ""):
+            own[x] = own.get(x, 0) + 1
+    weight = {q: own for q, own in weight.items() if own}
+    if not weight:
+        return spark.createDataFrame([], HIT + ", rank long")
+    n_docs = docs.count()
+    docs = one_text_per_id(docs)
+    every = {t: i for i, t in enumerate(sorted(set(chain(*weight.values()))))}
+    df = np.zeros(len(every))
+    found = docs.filter("doc_id is not null").mapInArrow(parts.tidy(_frequencies(every)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    for term, n in found.collect():
+        df[term] = n
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+    out, ids = None, list(weight)
+    while ids:
+        terms: dict[bytes, int] = {}
+        take = 0
+        while take < len(ids) and (not take or 8 * (take + 1) * len(terms.keys() | weight[ids[take]].keys()) <= small_bytes):
+            for t in weight[ids[take]]:
+                terms.setdefault(t, len(terms))
+            take += 1
+        w = np.zeros((take, len(terms)))
+        for i, q in enumerate(ids[:take]):
+            for t, c in weight[q].items():
+                w[i, terms[t]] = np.log1p(c) * idf[every[t]]
+        own = np.array([_NO_ID if q is None else q for q in ids[:take]], np.int64)
+        part = docs.mapInArrow(parts.tidy(_sparse_scores(own, w, terms, k)), HIT)
+        out, ids = part if out is None else out.unionByName(part), ids[take:]
+    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
+    return _top(out.select(real("query_id"), real("doc_id"), "score"), k)
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, counts) of some (doc_id, text) at a time: how often each document has each term."""
+    width, get = len(terms), terms.get
+    for whole in batches:
+        for b in parts.slices(whole, 1, rows=min(1024, max(1, (1 << 20) // width))):
+            lists = [parts.tokens(t) if t else [] for t in b.column(1).to_pylist()]
+            size = np.array([len(x) for x in lists], np.int64)
+            term = np.fromiter(map(get, chain.from_iterable(lists), repeat(-1)), np.int64, int(size.sum()))
+            at = np.repeat(np.arange(len(lists)) * width, size) + term
+            yield b.column(0), np.bincount(at[term >= 0], minlength=len(lists) * width).reshape(len(lists), width)
+
+
+def _frequencies(terms: dict[bytes, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(terms), np.int64)
+        for _, counts in _term_counts(batches, terms):
+            df += (counts > 0).sum(0)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(df[term], pa.int64())], ["term", "n"])
+
+    return run
+
+
+def _sparse_scores(ids: np.ndarray, weights: np.ndarray, terms: dict[bytes, int], k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(ids, np.zeros((len(ids), 1)), k, "dot", False)
+        for own, counts in _term_counts(batches, terms):
+            score = weights @ np.log1p(counts, dtype=float).T
+            # all weights are positive: 0 is without a common token
+            best.offer(own.fill_null(_NO_ID).to_numpy(), np.where(score > 0, np.round(score, 6), -np.inf))
+        yield pa.RecordBatch.from_arrays(best.rows(), ["query_id", "doc_id", "score"])
+
+    return run
+
+
 def rrf(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """(query_id, doc_id, score, rank): reciprocal-rank fusion of ranked lists."""
     every = lists[0].select("query_id", "doc_id", "rank")

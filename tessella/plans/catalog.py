@@ -170,10 +170,6 @@ def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
 
 
-def _query_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _benchmark(spark, d).select(F.col("query_id").alias("doc_id"), F.explode(text.tokens(F.col("query"))).alias("token"))
-
-
 @query
 def sparse_tf(spark: SparkSession, d: str) -> DataFrame:
     return search.term_weights(_doc_tokens(spark, d)).withColumn("weight", F.round("weight", 6))
@@ -185,7 +181,7 @@ def sparse_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return search.sparse_topk(_query_tokens(spark, d), _doc_tokens(spark, d), table(spark, d, "documents").count(), k)
+    return search.sparse_search(_benchmark(spark, d).withColumnRenamed("query", "text"), table(spark, d, "documents"), k)
 
 
 @query

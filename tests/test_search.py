@@ -1,6 +1,7 @@
 """Vector functions and search in both of its ways, with nulls, zero vectors, ties and clashing columns."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,20 @@ def test_sparse_search(spark):
     want = {1: np.log(2) ** 2 * idf["a"] + np.log(3) * np.log(2) * idf["b"], 2: np.log(2) ** 2 * idf["b"], 4: np.log(4) * np.log(2) * idf["a"]}
     got = {r.doc_id: r.score for r in search.sparse_topk(asked, tokens, 4, 5).collect()}
     assert got == {i: round(s, 6) for i, s in want.items()}
+
+
+@pytest.mark.parametrize("small", [1 << 20, 1])
+def test_sparse_search_of_texts_writes_no_pairs(spark, small):
+    docs = [(1, "a b, B c"), (2, "b\nc é"), (3, "d"), (4, "A a"), (4, "a"), (5, None), (6, "a"), (7, "a"), (None, "b"), (None, "b zzz")]
+    asked = [(9, "a B"), (8, "zzz"), (7, None), (6, "none of them"), (9, "c")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = search.sparse_search(spark.createDataFrame(asked, "query_id long, text string"), rows, 3, small)
+    idf = {t: np.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for t, n in (("a", 4), ("b", 2), ("c", 2), ("zzz", 0))}
+    one = np.log(2) ** 2
+    every = {1: one * idf["a"] + np.log(3) * np.log(2) * idf["b"] + one * idf["c"], 2: one * (idf["b"] + idf["c"]), 4: np.log(4) * np.log(2) * idf["a"], None: np.log(3) * np.log(2) * idf["b"]}
+    want = sorted(((round(s, 6), i) for i, s in every.items()), key=lambda x: -x[0])[:3]
+    got = [tuple(r) for r in found.orderBy("query_id", "rank").collect()]
+    assert got == [(8, None, round(one * idf["zzz"], 6), 1), *((9, i, s, r) for r, (s, i) in enumerate(want, 1))]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Generate" not in plan
+    assert search.sparse_search(spark.createDataFrame([(7, "-")], "query_id long, text string"), rows, 3).count() == 0
