@@ -17,6 +17,7 @@ import re
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.config import Pooling, default_pooling
+from tessella.functions import batches as parts
 from tessella.functions import text as text_functions
 from tessella.functions import vector
 from tessella.schema import extended
@@ -35,9 +37,24 @@ def tokenize(value: str) -> list[str]:
     return [t.lower() for t in _TOKEN.findall(value)]
 
 
-@lru_cache(maxsize=1 << 18)
+class _Hashes(dict):
+    """The first 32 bits of a token's md5; what it keeps is bounded."""
+
+    def __init__(self, most: int = 1 << 16) -> None:
+        self.most = most
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[token] = value = int.from_bytes(hashlib.md5(token).digest()[:4], "big")
+        return value
+
+
+_HASHES = _Hashes()
+
+
 def _hash(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+    return _HASHES[token.encode()]
 
 
 def normalize(v: np.ndarray) -> np.ndarray:
@@ -60,11 +77,12 @@ class Embedder(ABC):
         size, schema = batch_size or self.batch_size, extended(df.schema, **{out_col: "array<double>"})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-                yield pa.RecordBatch.from_arrays([*b.columns, vectors_of(texts, self.encode, size)], schema.names)
+            for whole in batches:
+                at = whole.schema.get_field_index(text_col)
+                for b in parts.slices(whole, at, size):
+                    yield pa.RecordBatch.from_arrays([*b.columns, vectors_of(b.column(at).to_pylist(), self.encode, size)], schema.names)
 
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(parts.tidy(run), schema)
 
     def embed_query(self, queries: list[str]) -> list[list[float]]:
         """On the driver, for a handful of strings."""
@@ -110,18 +128,30 @@ class HashingEmbedder(Embedder):
             raise ValueError("dim must be positive")
         self.dim, self.sparse, self.context = dim, sparse, context
 
-    def _counts(self, lists: list[list[str]]) -> np.ndarray:
+    def _counts(self, lists: list[list[bytes]]) -> np.ndarray:
         row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        bucket = np.fromiter((_hash(t) % self.dim for x in lists for t in x), np.int64, len(row))
+        bucket = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(lists)), np.int64, len(row)) % self.dim
         return np.bincount(row * self.dim + bucket, minlength=len(lists) * self.dim).reshape(len(lists), self.dim).astype(float)
 
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """(texts, dim): tokens a bucket. Those of texts add up to that of the texts joined by white space."""
+        out, at = np.zeros((len(texts), self.dim)), 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and size < parts.SLICE_BYTES:
+                size += len(texts[to])
+                to += 1
+            out[at:to] = self._counts([parts.tokens(t) for t in texts[at:to]])
+            at = to
+        return out
+
     def encode(self, texts: list[str]) -> np.ndarray:
-        counts = self._counts([tokenize(t) for t in texts])
+        counts = self.counts(texts)
         return np.log1p(counts) if self.sparse else normalize(counts)
 
     def encode_late(self, chunks: list[str]) -> np.ndarray:
         """A token's state is its own bucket and, with half the weight, those of the tokens around it in the document."""
-        lists = [tokenize(c) for c in chunks]
+        lists = [parts.tokens(c) for c in chunks]
         states = self._counts([[t] for x in lists for t in x])
         mixed = states.copy()
         for k in range(1, self.context + 1):

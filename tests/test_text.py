@@ -1,13 +1,16 @@
 """Text functions, chunkers, the Markdown splitter and embedders."""
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.config import ImageEmbedConfig, Pooling, TextEmbedConfig, VideoEmbedConfig, default_pooling
-from tessella.functions import markdown, text
+from tessella.functions import batches, markdown, text
 from tessella.operators import chunk, embed, rerank
 
 EDGES = [None, "", "   ", "x" * 5000, "日本語のテキスト。" * 300, "one. two; three.", "short", "a" * 999, "b" * 1000, "c" * 1001]
@@ -187,3 +190,20 @@ def test_configs():
         with pytest.raises(ValueError, match="must be"):
             TextEmbedConfig(**bad)
     assert default_pooling("BAAI/bge-small") is Pooling.CLS and default_pooling("Qwen3-Embedding") is Pooling.LAST and default_pooling("x") is Pooling.MEAN
+
+
+def test_texts_are_taken_in_slices_of_bounded_size(spark, monkeypatch):
+    texts = ["A b1-C", None, "", "é" * 900, "x" * 5000, "İK_z"] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for step in (1, 4):
+        got = list(batches.slices(batch, 0, step, most=4000, rows=8))
+        assert [t for b in got for t in b.column(0).to_pylist()] == texts and all(b.num_rows <= 8 for b in got)
+        assert all(b.num_rows <= step or sum(len((t or "").encode()) for t in b.column(0).to_pylist()) <= 4000 for b in got)
+    assert [t.decode() for t in batches.tokens("A b1-C é2 İK_z")] == embed.tokenize("A b1-C é2 İK_z")
+    kept = embed._Hashes(10)
+    assert [kept[str(i).encode()] for i in range(100)] == [int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) for i in range(100)] and len(kept) <= 10
+    e, sizes = embed.HashingEmbedder(16), []
+    monkeypatch.setattr(batches, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(e, "_counts", lambda lists, f=e._counts: sizes.append(len(lists)) or f(lists))
+    some = [t for t in texts if t]
+    assert (e.counts(some) == np.concatenate([e.counts([t]) for t in some])).all() and max(sizes) < len(some)
