@@ -199,23 +199,37 @@ def maxsim(queries: DataFrame, docs: DataFrame, k: int, small_bytes: int = SMALL
     return out
 
 
-def _maxsim(asked: pa.Table, dim: int, k: int):
+#: Of late interaction: numbers of a block of dot products, and of the pairs that are offered at once.
+BLOCK = 1 << 20
+
+
+def _maxsim(asked: pa.Table, dim: int, k: int, block: int = BLOCK):
     ids = asked["query_id"].to_numpy()
-    counts = np.array([len(m) for m in asked["multi"].to_pylist()], np.int64)
-    tokens = np.array([v for m in asked["multi"].to_pylist() for v in m], float).reshape(-1, dim)
-    begin = np.cumsum(counts) - counts
+    multi = asked["multi"].combine_chunks()
+    multi = pa.concat_arrays(multi.chunks) if isinstance(multi, pa.ChunkedArray) else multi
+    counts = np.diff(multi.offsets.to_numpy()).astype(np.int64)
+    tokens = multi.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    end = np.cumsum(counts)
+    begin = end - counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(ids, np.zeros((len(ids), 1)), k, "dot", False)
         for whole in batches:
-            for at in range(0, whole.num_rows if len(ids) else 0, 256):
-                b = whole.slice(at, 256)
+            most = np.diff(whole.column(1).offsets.to_numpy()).max(initial=1)
+            step = max(1, min(256, block // (32 * int(most)), block // max(1, len(ids))))  # documents
+            for at in range(0, whole.num_rows if len(ids) else 0, step):
+                b = whole.slice(at, step)
                 lists = b.column(1)
                 size = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                near = np.maximum.reduceat(flat @ tokens.T, np.cumsum(size) - size, axis=0)  # (documents, query tokens)
-                score = np.add.reduceat(near, begin, axis=1)
-                best.offer(b.column(0).to_numpy(), np.round(score.T, 6) + 0.0)
+                score = np.empty((len(ids), b.num_rows))
+                q = 0
+                while q < len(ids):  # queries whose tokens fit a block with these documents', one at least
+                    to = max(q + 1, int(np.searchsorted(end, begin[q] + block // len(flat), "right")))
+                    near = np.maximum.reduceat(flat @ tokens[begin[q] : end[to - 1]].T, np.cumsum(size) - size, axis=0)  # (documents, query tokens)
+                    score[q:to] = np.add.reduceat(near, begin[q:to] - begin[q], axis=1).T
+                    q = to
+                best.offer(b.column(0).to_numpy(), np.round(score, 6) + 0.0)
         yield pa.RecordBatch.from_arrays(best.rows(), ["query_id", "doc_id", "score"])
 
     return run

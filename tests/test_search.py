@@ -166,3 +166,17 @@ def test_sparse_search_of_texts_writes_no_pairs(spark, small):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Generate" not in plan
     assert search.sparse_search(spark.createDataFrame([(7, "-")], "query_id long, text string"), rows, 3).count() == 0
+
+
+def test_maxsim_in_blocks_of_bounded_size():
+    rng = np.random.default_rng(4)
+    kind = pa.list_(pa.list_(pa.float64()))
+    own, asked = ([rng.standard_normal((rng.integers(1, 6), 4)) for _ in range(n)] for n in (50, 30))
+    table = lambda name, m: pa.table({name: pa.array(range(len(m)), pa.int64()), "multi": pa.array([x.tolist() for x in m], kind)})
+    docs, want = table("doc_id", own).to_batches()[0], {}
+    for i, q in enumerate(asked):
+        want[i] = sorted((-round(float((q @ d.T).max(1).sum()), 6), j) for j, d in enumerate(own))[:3]
+    for block in (1, 200, 1 << 20):
+        found = list(search._maxsim(table("query_id", asked), 4, 3, block)(iter([docs])))[0].to_pylist()
+        got = {i: sorted((-r["score"], r["doc_id"]) for r in found if r["query_id"] == i) for i in want}
+        assert got == want
