@@ -7,6 +7,7 @@ texts have no chunks.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -175,14 +176,47 @@ def statistical_chunks(value: str, encode: Encode, n_words: int = 50, window: in
     return group_pieces(parts, counts, split_indices(similar, optimal_threshold(similar, counts, least, most)), least, most)
 
 
-def cumulative_chunks(value: str, encode: Encode, n_words: int = 50, threshold: float = 0.9) -> list[str]:
-    """A piece joins the chunk while its cosine with the whole chunk so far is at least the threshold."""
+def _near(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    scale = np.linalg.norm(a) * np.linalg.norm(b)
+    return bool(scale) and float(a @ b) / scale >= threshold
+
+
+def _cumulative_sums(parts: list[str], v: np.ndarray, threshold: float) -> list[str]:
+    """cumulative_chunks where a chunk's vector is the sum of its pieces', brought to length 1."""
+    out, begin = [], 0
+    square = np.einsum("ij,ij->i", v, v).tolist()
+    for i in range(len(parts)):
+        if i > begin:
+            dot = float(whole @ v[i])
+            scale = math.sqrt(size * square[i])
+            apart = dot / scale - threshold if scale else -1.0
+            if abs(apart) < 1e-9:  # as near as rounding: by the vectors of length 1, as encode gives them
+                apart = 0.0 if _near(whole / np.sqrt((whole * whole).sum()), v[i] / np.sqrt((v[i] * v[i]).sum()), threshold) else -1.0
+            if apart < 0:
+                out.append("\n".join(parts[begin:i]))
+                begin = i
+            else:
+                whole = whole + v[i]
+                size += 2 * dot + square[i]
+        if i == begin:
+            whole, size = v[i], square[i]
+    return [*out, "\n".join(parts[begin:])] if parts else out
+
+
+def cumulative_chunks(value: str, encode: Encode, n_words: int = 50, threshold: float = 0.9, counts: Encode | None = None) -> list[str]:
+    """A piece joins the chunk while its cosine with the whole chunk so far is at least the threshold.
+
+    counts: vectors of whole numbers that encode brings to length 1 and that add up when texts are joined. With it each piece is
+    encoded once; else the whole chunk is for each piece, which only a model has to.
+    """
+    if counts is not None:
+        own = pieces(value, n_words)
+        return _cumulative_sums(own, counts(own), threshold) if own else []
     out, open_ = [], []
     for part in pieces(value, n_words):
         if open_:
             a, b = encode(["\n".join(open_), part])
-            scale = np.linalg.norm(a) * np.linalg.norm(b)
-            if not scale or float(a @ b) / scale < threshold:
+            if not _near(a, b, threshold):
                 out.append("\n".join(open_))
                 open_ = []
         open_.append(part)

@@ -252,7 +252,8 @@ def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_cumulative(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.semantic_chunks(table(spark, d, "documents"), HashingEmbedder(DIM).encode, "cumulative", keep=["doc_id"], threshold=0.5)
+    e = HashingEmbedder(DIM)
+    return chunk.semantic_chunks(table(spark, d, "documents"), e.encode, "cumulative", keep=["doc_id"], threshold=0.5, counts=e.counts)
 
 
 @query

@@ -192,6 +192,22 @@ def test_configs():
     assert default_pooling("BAAI/bge-small") is Pooling.CLS and default_pooling("Qwen3-Embedding") is Pooling.LAST and default_pooling("x") is Pooling.MEAN
 
 
+def test_cumulative_chunks_encode_a_piece_once():
+    e, seen = embed.HashingEmbedder(16), []
+
+    def counts(texts):
+        seen.extend(texts)
+        return e.counts(texts)
+
+    rng = np.random.default_rng(5)
+    texts = ["", "one", ". ; .", "a b. a c. a d. b c. x. x.", "İK 日本. k i."] + [" ".join(rng.choice(["a", "b", "c", "d.", "e."], 60)) for _ in range(40)]
+    for value in texts:
+        for threshold in (0.0, 0.5, 0.8):  # of whole numbers, so many a cosine is just at 0.5
+            seen.clear()
+            assert chunk.cumulative_chunks(value, e.encode, 3, threshold, counts) == chunk.cumulative_chunks(value, e.encode, 3, threshold)
+            assert seen == chunk.pieces(value, 3)
+
+
 def test_texts_are_taken_in_slices_of_bounded_size(spark, monkeypatch):
     texts = ["A b1-C", None, "", "é" * 900, "x" * 5000, "İK_z"] * 20
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
