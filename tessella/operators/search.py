@@ -12,6 +12,7 @@ isn't either. The cosine of a zero vector to any other is 0.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -287,6 +288,42 @@ def sparse_topk(query_tokens: DataFrame, doc_tokens: DataFrame, n_docs: int, k:
     return _top(met, k)
 
 
+def idf_of_texts(docs: DataFrame) -> DataFrame:
+    """idf() over (doc_id, text): a task counts the documents of its tokens before anything moves, so no row is written a document's token.
+
+    A null id is no document to df, though its row counts in N.
+    """
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    n_docs, one = docs.count(), one_text_per_id(docs)
+    counted = one.select(F.col("doc_id").isNotNull().alias("real"), "text").mapInArrow(parts.tidy(_document_counts), "token string, n long")
+    df = counted.groupBy("token").agg(F.sum("n").alias("df"))
+    return df.withColumn("idf", F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """(token, n) of (real, text): in how many of the texts a token is, in parts of some tokens."""
+    found: Counter[bytes] = Counter()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        token, n = pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())
+        found.clear()
+        whole = pa.RecordBatch.from_arrays([token, n], ["token", "n"])
+        for at in range(0, whole.num_rows, 1 << 14):
+            yield whole.slice(at, 1 << 14)
+
+    for whole in batches:
+        for b in parts.slices(whole, 1):
+            for real, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = set(parts.tokens(t)) if t else ()
+                if real:
+                    found.update(own)
+                else:
+                    found.update(dict.fromkeys(own, 0))
+            if len(found) >= most:
+                yield from flush()
+    yield from flush()
+
+
 #: Stands for a null id among numbers.
 _NO_ID = -(1 << 63)
 

@@ -177,7 +177,7 @@ def sparse_tf(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sparse_idf(spark: SparkSession, d: str) -> DataFrame:
-    return search.idf(_doc_tokens(spark, d), table(spark, d, "documents").count()).withColumn("idf", F.round("idf", 6))
+    return search.idf_of_texts(table(spark, d, "documents")).withColumn("idf", F.round("idf", 6))
 
 
 def _sparse(spark: SparkSession, d: str, k: int = 10) -> DataFrame:

@@ -180,3 +180,16 @@ def test_maxsim_in_blocks_of_bounded_size():
         found = list(search._maxsim(table("query_id", asked), 4, 3, block)(iter([docs])))[0].to_pylist()
         got = {i: sorted((-r["score"], r["doc_id"]) for r in found if r["query_id"] == i) for i in want}
         assert got == want
+
+
+def test_idf_counts_before_anything_moves(spark):
+    docs = [(1, "a b, B"), (2, "b\nA é"), (3, None), (4, "A a"), (4, "a d"), (None, "b zzz"), (None, "zzz")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = search.idf_of_texts(rows)
+    got = {r.token: (r.df, round(r.idf, 6)) for r in found.collect()}
+    assert got == {t: (n, round(np.log(1 + (7 - n + 0.5) / (n + 0.5)), 6)) for t, n in (("a", 3), ("b", 2), ("d", 1), ("zzz", 0))}
+    assert search.idf_of_texts(rows.limit(0)).count() == 0
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    one = pa.RecordBatch.from_arrays([pa.array([True] * 40), pa.array([f"x y{i}" for i in range(40)])], ["real", "text"])
+    parts = pa.Table.from_batches(list(search._document_counts(iter([one] * 3), most=10))).to_pydict()
+    assert sum(n for t, n in zip(parts["token"], parts["n"], strict=True) if t == "x") == 120 and parts["token"].count("x") == 3
