@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import batches as parts_of
 from tessella.functions import markdown, text
 from tessella.schema import extended
 
@@ -66,15 +67,14 @@ def _each(df: DataFrame, text_col: str, keep: list[str], split: Callable[[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in parts_of.slices(whole, whole.num_columns - 1, rows=256):
                 lists = [split(t) if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
                 row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 index = pa.array([k for x in lists for k in range(len(x))], pa.int64())
                 own = [b.column(k).take(pa.array(row)) for k in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, index, pa.array([c for x in lists for c in x], pa.string())], schema.names)
 
-    return light.mapInArrow(run, schema)
+    return light.mapInArrow(parts_of.tidy(run), schema)
 
 
 def markdown_chunks(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, size: int = 1000, overlap: int = 0) -> DataFrame:
@@ -115,12 +115,16 @@ def pieces(value: str, n_words: int) -> list[str]:
 
 def context_similarities(v: np.ndarray, window: int = 5) -> np.ndarray:
     """The cosine of each vector but the first with the mean of the up to window before it."""
-    out = np.zeros(max(0, len(v) - 1))
-    for i in range(1, len(v)):
-        context = v[max(0, i - window) : i].mean(0)
-        scale = np.linalg.norm(context) * np.linalg.norm(v[i])
-        out[i - 1] = float(v[i] @ context) / scale if scale > 0 else 0.0
-    return out
+    n = len(v) - 1
+    if n < 1:
+        return np.zeros(0)
+    total = np.zeros((n, v.shape[1]))
+    for k in range(min(window, n), 0, -1):  # from the first of a window to its last
+        total[k - 1 :] += v[: n - k + 1]
+    context = total / np.minimum(np.arange(1, n + 1), window)[:, None]
+    dot = lambda a, b: np.matmul(a[:, None], b[:, :, None])[:, 0, 0]
+    scale = np.sqrt(dot(context, context)) * np.sqrt(dot(v[1:], v[1:]))
+    return np.divide(dot(v[1:], context), scale, out=np.zeros(n), where=scale > 0)
 
 
 def split_indices(similarities: np.ndarray, threshold: float) -> list[int]:

@@ -223,3 +223,14 @@ def test_texts_are_taken_in_slices_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(e, "_counts", lambda lists, f=e._counts: sizes.append(len(lists)) or f(lists))
     some = [t for t in texts if t]
     assert (e.counts(some) == np.concatenate([e.counts([t]) for t in some])).all() and max(sizes) < len(some)
+
+
+def test_context_similarities_are_those_of_each_window():
+    rng = np.random.default_rng(7)
+    for n, window in ((0, 5), (1, 5), (2, 5), (30, 5), (30, 1)):
+        v, want = rng.integers(0, 2, (n, 4)).astype(float), []
+        for i in range(1, n):
+            c = v[max(0, i - window) : i].mean(0)
+            size = np.linalg.norm(c) * np.linalg.norm(v[i])
+            want.append(float(v[i] @ c) / size if size else 0.0)
+        assert chunk.context_similarities(v, window).tolist() == want
