@@ -193,3 +193,10 @@ def test_idf_counts_before_anything_moves(spark):
     one = pa.RecordBatch.from_arrays([pa.array([True] * 40), pa.array([f"x y{i}" for i in range(40)])], ["real", "text"])
     parts = pa.Table.from_batches(list(search._document_counts(iter([one] * 3), most=10))).to_pydict()
     assert sum(n for t, n in zip(parts["token"], parts["n"], strict=True) if t == "x") == 120 and parts["token"].count("x") == 3
+
+
+def test_rrf_hybrid_joins_no_tokens(spark):
+    from tessella.plans import catalog
+
+    plan = catalog.queries()["rrf_hybrid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
